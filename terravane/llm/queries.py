@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, simhash, suffix_dedup, url_filters
+from . import byte_bpe, packing, quality_rules, simhash, suffix_dedup, token_counts, url_filters
 from .common import table
 
 #: The rules of op10, fixed by its contract.
@@ -20,6 +21,10 @@ URL_RULES = (
 )
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.digest(table(spark, sf_dir, "documents"), threshold=100)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -35,6 +40,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end=0)
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes: the labels table, its ids taken as page ids; toxic or of low quality is bad."""
     labels = table(spark, sf_dir, "labels")
@@ -45,9 +59,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash": op7_simhash,
+    "op8_packing": op8_packing,
+    "op9_byte_bpe": op9_byte_bpe,
     "op10_url_filters": op10_url_filters,
 }
 
