@@ -1,10 +1,18 @@
-"""The corpus pipeline: quality rules, near-dedup, repeated passages, packing."""
+"""The corpus pipeline: quality rules, near-dedup, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before has kept. All but the last return
+the columns of docs, further ones included. Null texts count as empty, so the quality rules reject them;
+an empty table passes through all stages.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terravane.llm import quality_rules, simhash
+from terravane.llm import packing, quality_rules, simhash, suffix_dedup
+from terravane.llm.common import stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,19 +21,35 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """Of each group of near copies the document with the smallest doc_id stays."""
     return simhash.keep_first(docs)
 
 
-STAGES = [("quality rules", quality), ("SimHash near-dedup", near_dedup)]
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes within 100-byte strings that also start earlier are cut out; n_chars follows the text.
+
+    A character that is only partly within stays whole; documents of which nothing is left go.
+    """
+    return suffix_dedup.strip(docs, threshold=100).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of 2048: one row per piece of a document, with its sequence and offset."""
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end=0)
+
+
+STAGES = [("quality rules", quality), ("SimHash near-dedup", near_dedup), ("suffix-array dedup", passages), ("best-fit packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents; what each but the last returns is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs, "pipeline-" + "".join(c if c.isalnum() else "-" for c in name))
     return docs
 
 
-#: Fingerprints, repeats of bytes and packing are beyond SQL; tests hold each stage against brute force.
+#: Rule votes, fingerprints, repeats of bytes and packing are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
