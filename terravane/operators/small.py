@@ -1,0 +1,32 @@
+"""Dimension tables in joins: broadcast within a checked size, in blocks beyond it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of a dimension that are broadcast at once.
+MOST = 20_000
+
+
+def blocks(dimension: DataFrame, key: str = "seq", most: int = MOST) -> Iterator[DataFrame]:
+    """The dimension whole if it has at most `most` rows, else in ranges of key (long, not negative) of about that size."""
+    n = dimension.limit(most + 1).count()
+    if n <= most:
+        yield F.broadcast(dimension)
+        return
+    last = dimension.agg(F.max(key)).first()[0]
+    for low in range(0, last + 1, most):
+        part = dimension.filter((F.col(key) >= low) & (F.col(key) < low + most))
+        yield F.broadcast(part.limit(most)) if part.limit(most + 1).count() <= most else part
+
+
+def theta_join(rows: DataFrame, dimension: DataFrame, on: Callable[[], Column], key: str = "seq", most: int = MOST) -> DataFrame:
+    """Inner join on a condition without equality, all rows against the stated dimension block by block."""
+    out = None
+    for part in blocks(dimension, key, most):
+        one = rows.join(part, on())
+        out = one if out is None else out.unionByName(one)
+    return out
