@@ -119,14 +119,14 @@ def bounded(p: dict[int, float], least: float, most: float) -> dict[int, float]:
     return {-1: bad} | {x: p[x] * (1 - bad) / (1 - p[-1]) for x in (0, 1)}
 
 
-def fit(voted: DataFrame, rounds: int = 12, smooth: float = 1.0, false_alarms: float = 0.003) -> Model:
+def fit(voted: DataFrame, rounds: int = 12, strength: float = 50.0, false_alarms: float = 0.003) -> Model:
     """Expectation-maximisation over the counted vote patterns; each round is one small aggregate.
 
-    smooth is added to every count, so no probability is zero; false_alarms bounds the bad votes on good
-    texts. An empty table leaves the start values.
+    The start values count as so many texts (strength), so that small tables stay near them and no probability
+    is zero; false_alarms bounds the bad votes on good texts. An empty table leaves the start values.
     """
     names = list(rules())
-    model = start(names, false_alarms)
+    model = first = start(names, false_alarms)
     patterns = cut(voted.groupBy(*(f"v_{k}" for k in names)).count().coalesce(1))
     for _ in range(rounds):
         weighed = patterns.select(*patterns.columns, *((F.col("count") * p).alias(f"p_{c}") for c, p in model.posterior().items()))
@@ -137,7 +137,8 @@ def fit(voted: DataFrame, rounds: int = 12, smooth: float = 1.0, false_alarms: f
         sums = {(r["rule"], r["vote"]): r for r in rows}
         weight, vote = {}, {}
         for c in model.weight:
-            n = {k: {x: (sums[k, x][c] if (k, x) in sums else 0.0) + smooth for x in VOTES} for k in names}
+            prior = strength * first.weight[c]
+            n = {k: {x: (sums[k, x][c] if (k, x) in sums else 0.0) + prior * first.vote[c][k][x] for x in VOTES} for k in names}
             size = sum(n[names[0]].values())
             weight[c] = size
             vote[c] = {k: {x: y / size for x, y in n[k].items()} for k in names}
