@@ -1,9 +1,15 @@
 from __future__ import annotations
 
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
 
+sys.path.insert(0, str(Path(__file__).parent))
+
+
 @pytest.fixture(scope="session")
 def spark() -> SparkSession:
     session = (
