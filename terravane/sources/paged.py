@@ -1,7 +1,8 @@
 """A paged feature service as a Spark data source: one partition per page.
 
-The service is anything that answers (url, offset, limit) with a page; files named page-<offset>.json replay
-saved pages. A page shorter than the limit is the last one.
+The service is anything that answers (url, offset, limit) with a page; files named page-<offset>.json, in a
+folder that all machines see, replay saved pages. For pages in any store that Spark reads there is
+tables.saved_pages().
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import os
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 from pyspark.sql.types import StructType
 
@@ -73,3 +75,9 @@ class PagedFeatures(DataSource):
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return PagedReader(schema, self.options)
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the format known to a session, with filters pushed down to the service."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
+    spark.dataSource.register(PagedFeatures)

@@ -11,9 +11,15 @@ from terravane.functions.expr import any_contains
 from terravane.operators.small import MOST
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """Events with ts as a timestamp, and a watermark if they are a stream."""
+    stamped = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return stamped.withWatermark("ts", late) if events.isStreaming else stamped
+
+
 def window_summary(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """Counts and values by window and type; works on batches and streams, late rows up to the watermark count."""
-    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    timed = _timed(events, late)
     grouped = timed.groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return grouped.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "event_type", "n", "total")
 
@@ -33,6 +39,6 @@ def rule_alerts(events: DataFrame, rules: DataFrame, column: str = "event_type")
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """user_id, start, end and number of events of sessions that end after a gap."""
-    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    timed = _timed(events, late)
     grouped = timed.groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return grouped.select("user_id", F.col("session_window.start").alias("started"), F.col("session_window.end").alias("ended"), "n")
