@@ -84,4 +84,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filters": op10_url_filters,
 }
 
-ORACLE: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BITS = " + ".join(f"{16 >> k} * CAST(substr(bits, CAST(5 * i + {k + 1} AS BIGINT), 1) AS INTEGER)" for k in range(5))
+_FITS = " UNION ALL ".join(
+    f"SELECT page_id, '{r.host + r.path}' AS rule, '{r.verdict}' AS verdict FROM parts WHERE (host = '{r.host}' OR suffix(host, '.{r.host}')) AND starts_with(path, '{r.path}')" for r in URL_RULES
+)
+_LONG = ", ".join(f"'{x}'" for x in url_filters.LONG_SUFFIXES)
+
+
+def _level(key: str, above: str) -> str:
+    """CTEs of one level: its groups with the prior mean above, the prior's strength k, and the shrunk rates."""
+    return f"""{key}_g AS (SELECT {key} AS name, sum(n) AS n, sum(bad) AS bad, any_value({above}) AS m FROM {key}_in GROUP BY {key}),
+    {key}_k AS (SELECT coalesce(1 / least(greatest(sum((bad - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 1e-4), 0.99), 1e4) - 1 AS k FROM {key}_g),
+    {key}_r AS (SELECT name, (bad + k * m) / (n + k) AS rate, n + k AS size FROM {key}_g, {key}_k)"""
+
+
+ORACLE: dict[str, str] = {
+    "op3_warc": f"""WITH d AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first, CAST(CAST(unhex(sha1(coalesce(html, ''))) AS BIT) AS VARCHAR) AS bits FROM pages)
+    SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_BITS}, 1)), '') AS payload_digest,
+    CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM d""",
+    "op10_url_filters": f"""WITH rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    parts AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+    ruled AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM ({_FITS}) GROUP BY page_id),
+    outcome AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+    hosts AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, split_part(host, '.', -1) AS last, array_to_string(string_split(host, '.')[-2:], '.') AS two FROM parts LEFT JOIN outcome USING (page_id) GROUP BY host),
+    named AS (SELECT host, n, bad, CASE WHEN two IN ({_LONG}) THEN two ELSE last END AS suffix, CASE WHEN two IN ({_LONG}) THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE two END AS domain FROM hosts),
+    suffix_in AS (SELECT *, (SELECT coalesce(sum(bad), 0) / greatest(coalesce(sum(n), 0), 1) FROM named) AS above FROM named), {_level("suffix", "above")},
+    domain_in AS (SELECT named.*, rate AS above FROM named JOIN suffix_r ON suffix = name), {_level("domain", "above")},
+    host_in AS (SELECT named.*, rate AS above FROM named JOIN domain_r ON domain = name), {_level("host", "above")}
+    SELECT parts.page_id, host, path, rule, coalesce(ruled.verdict, CASE WHEN greatest(rate - 1.645 * sqrt(rate * (1 - rate) / (size + 1)), 0) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+    FROM parts LEFT JOIN ruled USING (page_id) LEFT JOIN host_r ON host = name""",
+}
