@@ -25,16 +25,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
-from .word_bpe import REMEMBERED, WordBpe, chunks
+from .word_bpe import WordBpe, chunks
 
 #: Pieces in each group whose ranks one task counts.
 GROUP = 200_000
-#: Documents whose new chunks go to the tokenizer together.
-TOGETHER = 256
+#: Documents whose new chunks go to the tokenizer together, and chunks in each text for it.
+TOGETHER, CHUNKS = 256, 200
+#: Remembered chunks per Python worker, some 200 bytes each.
+REMEMBERED_HERE = 800_000
 
 
 class Encoder:
-    """Ids as little-endian bytes; each chunk goes through the tokenizers library once."""
+    """Ids as little-endian bytes; each chunk goes through the tokenizers library once.
+
+    New chunks go there many to a text, and the ends of words among their ids tell them apart again.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -44,6 +49,22 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # special strings are cut out before; what is left is text
         self.known: dict[str, bytes] = {}
+        self.ends = np.zeros(self.library.get_vocab_size(), np.int64)
+        self.ends[[k for s, k in self.bpe.vocab.items() if s.endswith(self.bpe.end)]] = 1
+
+    def remember(self, new: list[str]) -> None:
+        parts = [new[k : k + CHUNKS] for k in range(0, len(new), CHUNKS)]
+        for part, e in zip(parts, self.library.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            words = np.cumsum([1 if c.isalpha() else len(self.bpe.find(c)) for c in part])
+            ends = np.flatnonzero(self.ends[ids])
+            if len(ends) == words[-1]:
+                at = [0, *(4 * (ends[words - 1] + 1)).tolist()]
+                b = ids.tobytes()
+                self.known.update(zip(part, map(b.__getitem__, map(slice, at, at[1:]))))
+            else:  # the library splits some chunk in another way than its pattern says
+                for c, x in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
+                    self.known[c] = np.array(x.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         special = {s: k.to_bytes(4, "little") for s, k in self.bpe.special.items()}
@@ -61,13 +82,10 @@ class Encoder:
             else:
                 split.append(chunks(t))
         new = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) + len(new) > REMEMBERED_HERE:
             self.known.clear()
             new = list(set().union(*split))
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for c, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
+        self.remember(new)
         out = []
         for k, s in enumerate(split):
             found = list(map(self.known.__getitem__, s))

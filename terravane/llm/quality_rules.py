@@ -165,5 +165,6 @@ def judge(docs: DataFrame, *keep: str, least: float = 0.5) -> DataFrame:
 def keep_good(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents that pass, with all their columns; a verdict depends on the text alone."""
     keyed = docs.withColumn("__tv_text", F.sha2(F.coalesce("text", F.lit("")), 256))
-    good = judge(keyed, "__tv_text", least=least).filter("kept").select(F.col("__tv_text").alias("__tv_good")).distinct()
+    # Cut off, so that the join has exchanges of its own and a text with very many copies is split.
+    good = cut(judge(keyed, "__tv_text", least=least).filter("kept").select(F.col("__tv_text").alias("__tv_good")).distinct())
     return keyed.join(good, F.col("__tv_text") == F.col("__tv_good"), "left_semi").drop("__tv_text")
