@@ -85,6 +85,26 @@ def test_queue_equals_the_library_on_random_words(ranks):
         assert bpe.word(word) == ranks.encode_ordinary(word)
 
 
+def test_queues_equal_the_library_whatever_the_ranks(tmp_path):
+    """Merged tokens may rank before what they are made of, as in 'ab' after 'abc'."""
+    import base64
+
+    import tiktoken
+
+    r = random.Random(6)
+    for _ in range(20):
+        longer = sorted({bytes(r.choice(b"abc") for _ in range(r.randint(2, 5))) for _ in range(40)})
+        r.shuffle(longer)
+        table = {b: k for k, b in enumerate([bytes([x]) for x in range(256)] + longer)}
+        path = tmp_path / f"{r.random()}.tiktoken"
+        path.write_bytes(b"\n".join(base64.b64encode(b) + b" %d" % k for b, k in table.items()))
+        own, library = byte_bpe.ByteBpe(str(path), P.PATTERN), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=table, special_tokens={})
+        words = ["".join(r.choice("abc") for _ in range(r.randint(1, 90))) for _ in range(200)]
+        want = [library.encode_ordinary(w) for w in words]
+        assert [own.word(w) for w in words] == want
+        assert [own.encode_words(words)[w] for w in words] == want
+
+
 def check_packing(rows, pieces, capacity):
     assert sorted((r.doc_id, r.piece) for r in rows) == sorted(pieces)
     by = {}
