@@ -2,7 +2,8 @@
 
 Each page's containers are scored by the running text that they hold; the best one votes, with its path of
 tags and classes (digits generalised), for its host. Votes are counted in Spark, and every page is read
-again by its host's winning path; pages that lack it use their own best container.
+again by its host's winning path; pages that lack it use their own best container. Hosts with more than one
+vote in HOT are broadcast, HOT rows at most; their pages are dealt out evenly when the others meet their host.
 
 Edge cases: a null or empty html has an empty text; pages without url share one host; unclosed and stray
 tags are repaired, never dropped with their text; ties go to the shorter, then lesser path; repeated rows
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, cut
 
 #: Elements whose content is no markup.
 RAW = "script|style|noscript|template|title|textarea|iframe|xmp|noembed|noframes"
@@ -48,6 +49,8 @@ ASIDE_NAMES = re.compile(
     re.I,
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Hosts that can have so large a share of the votes, one in HOT; and characters of a path that is broadcast.
+HOT, HOT_PATH = 2000, 2000
 
 
 class Page:
@@ -195,7 +198,7 @@ def vote(html: str | None) -> str | None:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host, path: the winner of each host; columns host and html of pages."""
+    """host, path (the winner of each host) and votes (of all its paths); columns host and html of pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -204,14 +207,22 @@ def host_paths(pages: DataFrame) -> DataFrame:
     votes = pages.select("host", "html").mapInArrow(run, "host string, path string").filter("path is not null")
     counted = votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
     first = F.struct("n", -F.length("path"), "path")
-    return counted.groupBy("host").agg(F.max_by("path", first).alias("path"))
+    return counted.groupBy("host").agg(F.max_by("path", first).alias("path"), F.sum("n").alias("votes"))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     host = ascii_lower(F.coalesce(F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("")))
     own = pages.select(F.col("page_id").cast("long"), "url", "html", host.alias("host"))
-    joined = own.join(host_paths(own), "host", "left").select("page_id", "url", "html", "path")
+    paths = cut(host_paths(own))
+    total = paths.agg(F.sum("votes")).first()[0] or 0
+    hot = paths.filter((F.col("votes") * HOT > total) & (F.length("path") <= HOT_PATH))
+    met = own.join(F.broadcast(hot.select("host", F.col("path").alias("hot"))), "host", "left")
+    # Pages of hot hosts get keys that no host has.
+    spread = F.concat(F.lit("/"), F.xxhash64("page_id", "url").cast("string"))
+    keyed = met.withColumn("key", F.when(F.col("hot").isNull(), F.col("host")).otherwise(spread))
+    others = paths.select(F.col("host").alias("key"), "path")
+    joined = keyed.join(others, "key", "left").select("page_id", "url", "html", F.coalesce("hot", "path").alias("path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
