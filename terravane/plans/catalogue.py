@@ -357,7 +357,7 @@ def hierarchy_rollup(spark: SparkSession, d: str) -> DataFrame:
 @query("q30_window_summary", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def window_summary(spark: SparkSession, d: str) -> DataFrame:
     """Extension: the streaming summary, run over the events as a batch."""
-    return alerts.window_summary(t(spark, d, "events")).select("window_start", "event_type", "n")
+    return alerts.window_summary(t(spark, d, "events")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
 @query("q31_apportion", "SELECT o_custkey, sum(CAST(round(o_totalprice * 100) AS BIGINT))::BIGINT AS cents, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY o_custkey")
