@@ -43,11 +43,12 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.bpe = WordBpe(path)
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # special strings are cut out before; what is left is text
+        self.library.normalizer = normalizers.Sequence([])  # chunks are normalised; twice could compose more characters
         self.known: dict[str, bytes] = {}
         self.ends = np.zeros(self.library.get_vocab_size(), np.int64)
         self.ends[[k for s, k in self.bpe.vocab.items() if s.endswith(self.bpe.end)]] = 1

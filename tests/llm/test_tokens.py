@@ -17,7 +17,7 @@ WORDS, BYTES = P.path("word_bpe_49k.json"), P.path("byte_bpe_multi_50k.tiktoken"
 TEXTS = [
     None, "", " ", "Hello, world!", "it's 12 o'clock 'S", "ΑΣ Σ İstanbul ß é é ǅ", "a<|endoftext|>b <|startoftext|> <|STARTOFTEXT|>",
     "x\x1cy \x1d z\x85w\xa0v", "tab\tnew\nline \n  two  spaces   three    ", "\n \n a", " \n\n  b  ", "aaaa" * 300, "ab" * 5000, "日本語のテキスト 🎉🎉 ﬁ",
-    "x " * 5000, "!!! ... ###", "don't can't we'll I'm you've he'd they're", "مرحبا बहुत ไทย", "1234567890 ²Ⅷ½", " leading", "trailing ", "a \n", "a  \n b\n \nc",
+    "x " * 5000, "!!! ... ###", "don't can't we'll I'm you've he'd they're", "مرحبا बहुत ไทย", "1234567890 ²Ⅷ½", "\u03a9\u0301\u0345 \u038f\u0345", " leading", "trailing ", "a \n", "a  \n b\n \nc",
 ]
 
 
