@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -32,8 +32,8 @@ BAND = 3
 SHARD = 60_000
 #: Fingerprints from which vantage points are chosen.
 SAMPLE = 1024
-#: Visitors of a shard are dealt out over so many tasks.
-SALTS = 4
+#: A shard's visitors are dealt out so that about as many as it holds, or so many at least, meet a copy of it.
+VISITORS = 2_000
 #: Pairs that a leaf compares directly, in one block.
 LEAF = 1 << 20
 
@@ -86,6 +86,25 @@ def vantage_points(fps: DataFrame, depth: int) -> list[int]:
     return [int(s[k].view(np.int64)) for k in chosen]
 
 
+def bands(d: Column, radius: int) -> tuple[Column, Column, Column]:
+    """Of a distance: its own band, and the first and last that a ball around it touches."""
+    return F.floor(d / BAND), F.floor(F.greatest(d - radius, F.lit(0)) / BAND), F.floor(F.least(d + radius, F.lit(64)) / BAND)
+
+
+def shares(fps: DataFrame, points: list[int], radius: int) -> list[tuple[list[float], list[float]]]:
+    """For each vantage point, the share of all fingerprints that lie in each of its bands, and of balls that touch it."""
+    near = F.array(*(F.bit_count(F.col("fp").bitwiseXOR(F.lit(v))) for v in points))
+    rows = fps.select(F.posexplode(near).alias("i", "d")).groupBy("i", "d").count().collect()  # 65 for each point at most
+    found = [([0.0] * (64 // BAND + 1), [0.0] * (64 // BAND + 1)) for _ in points]
+    total = max(1, sum(r["count"] for r in rows if r.i == 0))
+    for r in rows:
+        inside, touched = found[r.i]
+        inside[r.d // BAND] += r["count"] / total
+        for b in range(max(r.d - radius, 0) // BAND, min(r.d + radius, 64) // BAND + 1):
+            touched[b] += r["count"] / total
+    return found
+
+
 def leaf_pairs(h: np.ndarray, q: np.ndarray, hi: np.ndarray, qi: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs within the radius, by a vantage-point tree that prunes by the triangle inequality."""
     if not len(hi) or not len(qi):
@@ -147,21 +166,30 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     """(a, b): a spanning set of the links between distinct fingerprints (column fp, distinct rows)."""
     if radius >= BAND:
         raise ValueError(f"the radius must be under {BAND}")
-    depth = max(2, ceil(log(max(1, fps.count()) / SHARD) / log(4)))
-    width = 64 // BAND + 1
-    home, cells = F.lit(0), fps.select("fp")
-    for i, v in enumerate(vantage_points(fps, depth)):
-        d = F.bit_count(F.col("fp").bitwiseXOR(F.lit(v)))
-        home = home * width + F.floor(d / BAND)
-        touched = F.sequence(F.floor(F.greatest(d - radius, F.lit(0)) / BAND), F.floor(F.least(d + radius, F.lit(64)) / BAND))
-        cells = cells.select("*", F.explode(touched).alias(f"b{i}"))
-    cell = F.lit(0)
-    for i in range(depth):
-        cell = cell * width + F.col(f"b{i}")
-    salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")
+    n = fps.count()
+    depth = max(2, ceil(log(max(1, n) / SHARD) / log(4)))
+    points, width = vantage_points(fps, depth), 64 // BAND + 1
+    expected = shares(fps, points, radius)
+
+    def salts(own: list[Column]) -> Column:
+        """Copies of the shard in these bands. What it holds and its visitors are those of independent points."""
+        held = visitors = F.lit(float(n))
+        for b, (inside, touched) in zip(own, expected):
+            held, visitors = held * F.get(F.array(*map(F.lit, inside)), b.cast("int")), visitors * F.get(F.array(*map(F.lit, touched)), b.cast("int"))
+        return F.greatest(F.ceil(visitors / F.greatest(held, F.lit(float(VISITORS)))), F.lit(1).cast("long"))
+
+    home, cell, cells, own = F.lit(0), F.lit(0), fps.select("fp"), []
+    for i, v in enumerate(points):
+        inside, low, high = bands(F.bit_count(F.col("fp").bitwiseXOR(F.lit(v))), radius)
+        cells = cells.select("*", F.explode(F.sequence(low, high)).alias(f"b{i}"))
+        home, cell = home * width + inside, cell * width + F.col(f"b{i}")
+        own.append(inside)
     # Of two homes, the lesser visits the greater: each pair meets once.
-    visits = cells.select("fp", cell.alias("cell"), home.alias("home"), salt.alias("salt"), F.lit(False).alias("lives")).filter("cell >= home").drop("home")
-    homes = fps.select("fp", home.alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("lives"))
+    visits = cells.select("*", cell.alias("cell"), home.alias("home")).filter("cell >= home")
+    salt = F.pmod(F.xxhash64("fp"), salts([F.col(f"b{i}") for i in range(depth)]))
+    visits = visits.select("fp", "cell", salt.alias("salt"), F.lit(False).alias("lives"))
+    copies = F.sequence(F.lit(0).cast("long"), salts(own) - 1)
+    homes = fps.select("fp", home.alias("cell"), F.explode(copies).alias("salt"), F.lit(True).alias("lives"))
 
     def shard(p: pd.DataFrame) -> pd.DataFrame:
         x, lives = p["fp"].to_numpy().view(np.uint64), p["lives"].to_numpy()
