@@ -226,7 +226,8 @@ def classes(docs: DataFrame, radius: int = 2) -> DataFrame:
     linked = components(links(distinct, radius))
     lowest = linked.join(distinct, F.col("node") == F.col("fp")).groupBy("label").agg(F.min("least").alias("low"))
     named = linked.join(lowest, "label").select("node", "low")
-    of = distinct.join(named, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("low", "least").alias("component_id"))
+    # Cut off, so that the last join has exchanges of its own and a fingerprint of very many documents is split.
+    of = cut(distinct.join(named, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("low", "least").alias("component_id")))
     return own.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
