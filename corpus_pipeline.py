@@ -34,7 +34,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of 2048: one row per piece of a document, with its sequence and offset."""
+    """Token sequences of 2048: one row per piece of a document, with its token ids, sequence and offset."""
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end=0)
 
 

@@ -13,7 +13,6 @@ further columns are ignored.
 from __future__ import annotations
 
 import os
-import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
@@ -102,9 +101,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids) of every document's pieces."""
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+def pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0) -> DataFrame:
+    """doc_id, piece, start, length and ids (four bytes each, little-endian) of every document's pieces."""
+    schema = "doc_id long, piece int, start long, length long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, last, step = encoder(path), end.to_bytes(4, "little"), 4 * capacity
@@ -116,10 +115,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, with_
                     ids += last
                     for p, at in enumerate(range(0, len(ids), step)):
                         x = ids[at : at + step]
-                        rows.append((doc, p, at // 4, len(x) // 4, zlib.crc32(x), *([np.frombuffer(x, "<i4")] * with_ids)))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], names[: 5 + with_ids])
+                        rows.append((doc, p, at // 4, len(x) // 4, x))
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], ["doc_id", "piece", "start", "length", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
@@ -246,4 +244,6 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
 
 def packed(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0) -> DataFrame:
-    return pack(stored(pieces(docs, path, capacity, end), "pieces"), capacity)
+    """pieces with their token ids, CRC of these, sequence_id and offset: a sequence is its pieces' ids by offset."""
+    placed = pack(stored(pieces(docs, path, capacity, end), "pieces"), capacity)
+    return placed.withColumn("ids_crc32", F.crc32("ids"))

@@ -7,6 +7,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 
@@ -132,6 +133,21 @@ def test_packing(spark, library):
     assert n >= -(-sum(x[1] for x in want.values()) // 64)
 
 
+def test_packed_sequences_hold_their_ids(spark, library):
+    texts = [*TEXTS, TEXTS[0], "a further text"]
+    rows = packing.packed(frame(spark, texts), WORDS, capacity=64).collect()
+    by = {}
+    for r in rows:
+        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
+        by.setdefault(r.sequence_id, []).append(r)
+    built = {s: np.frombuffer(b"".join(r.ids for r in sorted(parts, key=lambda r: r.offset)), "<u4").tolist() for s, parts in by.items()}
+    assert all(0 < len(x) <= 64 for x in built.values())
+    docs = {}
+    for r in sorted(rows, key=lambda r: r.start):
+        docs.setdefault(r.doc_id, []).extend(built[r.sequence_id][r.offset : r.offset + r.length])
+    assert docs == {k: [*library.encode(t or "", add_special_tokens=False).ids, 0] for k, t in enumerate(texts)}
+
+
 def test_packing_of_nothing(spark):
     assert packing.packed(frame(spark, []).limit(0), WORDS).collect() == []
 
