@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.llm import packing, quality_rules, simhash, suffix_dedup
+from terravane.llm import near_copies, packing, quality_rules, suffix_dedup
 from terravane.llm.common import stored
 
 
@@ -21,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
-    return simhash.keep_first(docs)
+    """Of each group of near copies (five-word shingles, Jaccard similarity from 0.8) the smallest doc_id stays."""
+    return near_copies.keep_first(docs, width=5, least=0.8)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end=0)
 
 
-STAGES = [("quality rules", quality), ("SimHash near-dedup", near_dedup), ("suffix-array dedup", passages), ("best-fit packing", pack)]
+STAGES = [("quality rules", quality), ("near-dedup", near_dedup), ("suffix-array dedup", passages), ("best-fit packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
