@@ -18,7 +18,7 @@ Records travel packed, many to a row; tasks hold one bucket, whose number follow
 
 Edge cases: a null text counts as empty; texts shorter than the threshold lose nothing; a null doc_id comes
 before all others; rows that repeat both doc_id and text are one document and give repeated results; rows
-with the same doc_id and other texts are told apart by their texts, and of two equal windows at the same
+with the same doc_id and other texts are told apart by 64-bit hashes of their texts, and of two equal windows at the same
 place in both none is the earlier; an empty table gives an empty result; further columns are kept by strip()
 and ignored by digest().
 """
@@ -26,11 +26,11 @@ and ignored by digest().
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -48,9 +48,9 @@ TIED = 128
 #: Stands for a null doc_id.
 NONE = -(1 << 63)
 
-RUN = np.dtype([("v", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("tag", "<u2"), ("n", "u1")])
-WANTED = np.dtype([("v", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("tag", "<u2"), ("n", "u1")])
-SPAN = np.dtype([("doc", "<i8"), ("at", "<u4"), ("size", "<u4"), ("tag", "<u2")])
+RUN = np.dtype([("v", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("tag", "<u8"), ("n", "u1")])
+WANTED = np.dtype([("v", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("tag", "<u8"), ("n", "u1")])
+SPAN = np.dtype([("doc", "<i8"), ("at", "<u4"), ("size", "<u4"), ("tag", "<u8")])
 
 BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
@@ -132,7 +132,13 @@ def runs(buf: np.ndarray, ends: np.ndarray, threshold: int) -> tuple[np.ndarray,
 
 
 def tag_of(b: bytes) -> int:
-    return zlib.crc32(b) & 0xFFFF
+    """Tells texts of one doc_id apart; Spark's xxhash64 of the text."""
+    return xxhash.xxh64_intdigest(b, 42)
+
+
+def home(x: np.ndarray, d: int) -> np.ndarray:
+    """The bucket of each record's text: by doc_id and tag, so that neither rows without id nor copies meet in one."""
+    return np.mod(x["doc"] ^ x["tag"].astype(np.int64), d)
 
 
 def text_runs(ids: list[int], texts: list[bytes], threshold: int) -> Iterator[np.ndarray]:
@@ -147,7 +153,7 @@ def text_runs(ids: list[int], texts: list[bytes], threshold: int) -> Iterator[np
         r = np.zeros(len(a), RUN)
         r["v"], r["c"], r["n"] = v, c, n
         r["doc"] = np.array([x[0] for x in held], np.int64)[of]
-        r["tag"] = np.array([x[1] for x in held], np.uint16)[of]
+        r["tag"] = np.array([x[1] for x in held], np.uint64)[of]
         begin = np.concatenate([[0], ends[:-1]])
         r["at"] = (a - begin[of] + np.array([x[2] for x in held], np.int64)[of]).astype(np.uint32)
         order = np.lexsort((r["at"], r["doc"], r["c"], r["v"]))
@@ -295,7 +301,7 @@ def _found(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, int]:
                 for k in ("doc", "at", "tag"):
                     span[k] = gone[k]
                 span["size"] = gone["n"] % TIED
-                rows += [(-1 - b, None, pack(span[k])) for b, k in by_bucket(span, np.mod(span["doc"], d))]
+                rows += [(-1 - b, None, pack(span[k])) for b, k in by_bucket(span, home(span, d))]
                 yield pa.RecordBatch.from_pylist([dict(zip(("b", "runs", "spans"), row)) for row in rows], pa.schema([("b", pa.int64()), ("runs", pa.binary()), ("spans", pa.binary())]))
 
     def refine(t: pa.Table) -> pa.Table:
@@ -305,8 +311,8 @@ def _found(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, int]:
             rows.append((-1 - b, b"".join(t.column("spans").to_pylist()) if len(t) == 1 else pack(np.concatenate([unpack(x, SPAN) for x in t.column("spans").to_pylist()])), None))
         else:
             span, look = refined(np.concatenate([unpack(x, RUN) for x in t.column("runs").to_pylist()]))
-            rows += [(k, pack(span[p]), None) for k, p in by_bucket(span, np.mod(span["doc"], d))]
-            rows += [(k, None, pack(look[p])) for k, p in by_bucket(look, np.mod(look["doc"], d))]
+            rows += [(k, pack(span[p]), None) for k, p in by_bucket(span, home(span, d))]
+            rows += [(k, None, pack(look[p])) for k, p in by_bucket(look, home(look, d))]
         return pa.Table.from_pylist([dict(zip(("b", "spans", "wanted"), r)) for r in rows], pa.schema([("b", pa.int64()), ("spans", pa.binary()), ("wanted", pa.binary())]))
 
     def fetch(docs: pa.Table, t: pa.Table) -> pa.Table:
@@ -338,12 +344,12 @@ def _found(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, int]:
     def order(t: pa.Table) -> pa.Table:
         w = [unpack(x, WANTED) for x in t.column("runs").to_pylist()]
         s = repeated(np.concatenate(w), np.frombuffer(b"".join(t.column("bytes").to_pylist()), np.uint8), threshold)
-        rows = [{"b": k, "spans": pack(s[p])} for k, p in by_bucket(s, np.mod(s["doc"], d))]
+        rows = [{"b": k, "spans": pack(s[p])} for k, p in by_bucket(s, home(s, d))]
         return pa.Table.from_pylist(rows, pa.schema([("b", pa.int64()), ("spans", pa.binary())]))
 
     own = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(first_digits, "b long, runs binary, spans binary")
     known = stored(own.groupBy("b").applyInArrow(refine, "b long, spans binary, wanted binary"), "repeats", compression="zstd")
-    placed = docs.withColumn("__tv_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE))).withColumn("__tv_bucket", F.pmod("__tv_id", F.lit(d)))
+    placed = docs.withColumn("__tv_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE))).withColumn("__tv_bucket", F.pmod(F.col("__tv_id").bitwiseXOR(F.xxhash64("text")), F.lit(d)))
     slim = placed.select("__tv_bucket", "__tv_id", F.col("text").alias("__tv_text"))
     wanted = known.filter("wanted is not null").select("b", "wanted")
     runs_ = slim.groupBy("__tv_bucket").cogroup(wanted.groupBy("b")).applyInArrow(fetch, "h long, runs binary, bytes binary")

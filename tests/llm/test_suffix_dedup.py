@@ -50,6 +50,16 @@ def test_random_passages(spark, seed):
     compare(spark, texts)
 
 
+def test_many_rows_without_id(spark):
+    r = random.Random(7)
+    make = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared = [make(110) for _ in range(40)]
+    texts = [(None, make(r.randint(0, 60)) + (r.choice(shared) if k % 3 else make(110)) + make(r.randint(0, 60))) for k in range(1500)]
+    compare(spark, texts)
+    placed, _, _ = suffix_dedup._found(documents(spark, texts), 100)
+    assert placed.select("__tv_bucket").distinct().count() > 30
+
+
 def test_periodic_texts(spark):
     compare(spark, [(1, "abc" * 100), (2, "x" * 400), (3, "x" * 150 + "y" + "x" * 99), (4, ("Éan " * 90)), (5, "q" * 99), (6, "cab" * 80)])
 
