@@ -1,11 +1,13 @@
 """SimHash near-duplicates: vantage-point trees over 64-bit fingerprints, exact within a Hamming radius.
 
-Fingerprints are partitioned by their Hamming distances to vantage points, in bands. Where two lie within
-the radius, their distances to any vantage point differ by the radius at most (triangle inequality), so a
-fingerprint visits only the shards whose bands its ball touches; every other branch is pruned. Each shard
-goes on with a vantage-point tree of its own, down to small leaves that are compared pair by pair, and
-returns a spanning forest of its links, never all pairs. Minimum labels with pointer jumping then join
-the forests into components.
+Fingerprints are partitioned by their Hamming distances to vantage points, one for each section of 16 bits, in
+bands. By the triangle inequality the distances of two fingerprints to a section's vantage point differ by what they
+differ in that section at most, so those of two within the radius differ by the radius at most over all sections
+together. A fingerprint visits only the shards whose bands it can reach within that sum; every other branch is
+pruned, and the shards to visit are 33 (bands of three) or 41 (bands of one) at most, whatever the corpus. Each shard
+goes on with a vantage-point tree of its own, down to small leaves that are compared pair by pair, and returns
+a spanning forest of its links, never all pairs. Minimum labels with pointer jumping then join the forests into
+components.
 
 Edge cases: a null or empty text has fingerprint zero and is linked like any other; repeated rows share
 their fingerprint; null doc_ids never name a component unless it has no other; an empty table gives an
@@ -15,7 +17,7 @@ empty result; further columns of the input are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -26,13 +28,15 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: A band of distances to a vantage point; at least the radius, so that a ball touches two bands at most on a side.
-BAND = 3
-#: Shards split until they hold about so many fingerprints, if these spread evenly.
-SHARD = 60_000
+#: Sections of a fingerprint, each with a vantage point of its own, and bits in each.
+SECTIONS, BITS = 4, 16
+#: Widths of the bands of distances, and about how many shards they make of evenly spread bits.
+WIDTHS = {3: 58, 1: 4700}
+#: Fingerprints that a task holds of a shard; larger shards are held in blocks.
+SHARD = 1 << 20
 #: Fingerprints from which vantage points are chosen.
 SAMPLE = 1024
-#: A shard's visitors are dealt out so that about as many as it holds, or so many at least, meet a copy of it.
+#: A block's visitors are dealt out so that about as many as it holds, or so many at least, meet a copy of it.
 VISITORS = 2_000
 #: Pairs that a leaf compares directly, in one block.
 LEAF = 1 << 20
@@ -68,41 +72,36 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def vantage_points(fps: DataFrame, depth: int) -> list[int]:
-    """depth points from a sample of SAMPLE fingerprints: each the one whose distances spread most, given the others."""
+def vantage_points(fps: DataFrame, width: int) -> list[int]:
+    """For each section the one of SAMPLE fingerprints to which their distances spread over the bands most evenly."""
     rows = fps.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()
-    s = np.array([r.fp for r in rows], np.int64).view(np.uint64)
-    if not len(s):
-        return [0] * depth
-    far = np.bitwise_count(s[:, None] ^ s[None, :]).astype(float)
-    centred = far - far.mean(axis=1, keepdims=True)
-    chosen: list[int] = []
-    for _ in range(depth):
-        left = centred
-        if chosen:  # what the chosen ones' distances don't already tell
-            q, _ = np.linalg.qr(centred[chosen].T)
-            left = centred - (centred @ q) @ q.T
-        chosen.append(int(np.argmax(left.var(axis=1))))
-    return [int(s[k].view(np.int64)) for k in chosen]
-
-
-def bands(d: Column, radius: int) -> tuple[Column, Column, Column]:
-    """Of a distance: its own band, and the first and last that a ball around it touches."""
-    return F.floor(d / BAND), F.floor(F.greatest(d - radius, F.lit(0)) / BAND), F.floor(F.least(d + radius, F.lit(64)) / BAND)
-
-
-def shares(fps: DataFrame, points: list[int], radius: int) -> list[tuple[list[float], list[float]]]:
-    """For each vantage point, the share of all fingerprints that lie in each of its bands, and of balls that touch it."""
-    near = F.array(*(F.bit_count(F.col("fp").bitwiseXOR(F.lit(v))) for v in points))
-    rows = fps.select(F.posexplode(near).alias("i", "d")).groupBy("i", "d").count().collect()  # 65 for each point at most
-    found = [([0.0] * (64 // BAND + 1), [0.0] * (64 // BAND + 1)) for _ in points]
-    total = max(1, sum(r["count"] for r in rows if r.i == 0))
-    for r in rows:
-        inside, touched = found[r.i]
-        inside[r.d // BAND] += r["count"] / total
-        for b in range(max(r.d - radius, 0) // BAND, min(r.d + radius, 64) // BAND + 1):
-            touched[b] += r["count"] / total
-    return found
+    s = np.array([r.fp for r in rows] or [0], np.int64).view(np.uint64)
+    chosen = []
+    for i in range(SECTIONS):
+        part = s >> np.uint64(BITS * i) & np.uint64((1 << BITS) - 1)
+        bands = np.bitwise_count(part[:, None] ^ part[None, :]) // width
+        share = np.array([(bands == b).mean(axis=1) for b in range(BITS // width + 1)])
+        chosen.append(int(part[np.argmin((share**2).sum(axis=0))]))
+    return chosen
+
+
+def cells(points: list[int], width: int, radius: int) -> tuple[Column, Column]:
+    """The shard of a fingerprint (column fp), and the array of those that it visits: its own and greater ones in reach.
+
+    Of two shards the lesser one's fingerprints visit the greater, so that each pair meets once.
+    """
+    most = 1 + (radius - 1) // width if radius else 0
+    base = BITS // width + 1 + 2 * most  # room for bands that no distance has
+    away = [F.bit_count(F.shiftrightunsigned("fp", BITS * i).bitwiseAND((1 << BITS) - 1).bitwiseXOR(v)) for i, v in enumerate(points)]
+    own = sum(((F.floor(d / width) + most) * base**i for i, d in enumerate(away)), F.lit(0).cast("long"))
+    visits = [own]
+    for shift in product(range(-most, most + 1), repeat=SECTIONS):
+        by = sum(x * base**i for i, x in enumerate(shift))
+        if by > 0 and sum(1 + (abs(x) - 1) * width for x in shift if x) <= radius:
+            # Steps from a distance to the nearest one in the band.
+            steps = [(d % width + 1 + (-x - 1) * width) if x < 0 else (width - d % width + (x - 1) * width) for d, x in zip(away, shift) if x]
+            visits.append(F.when(sum(steps[1:], steps[0]) <= radius, own + by))
+    return own, F.array_compact(F.array(*visits))
 
 
 def leaf_pairs(h: np.ndarray, q: np.ndarray, hi: np.ndarray, qi: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -163,40 +162,28 @@ def forest(home: np.ndarray, visit: np.ndarray, radius: int) -> tuple[np.ndarray
 
 
 def links(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """(a, b): a spanning set of the links between distinct fingerprints (column fp, distinct rows)."""
-    if radius >= BAND:
-        raise ValueError(f"the radius must be under {BAND}")
+    """(a, b): a spanning set of the links between distinct fingerprints (column fp, distinct rows, read more than once)."""
     n = fps.count()
-    depth = max(2, ceil(log(max(1, n) / SHARD) / log(4)))
-    points, width = vantage_points(fps, depth), 64 // BAND + 1
-    expected = shares(fps, points, radius)
-
-    def salts(own: list[Column]) -> Column:
-        """Copies of the shard in these bands. What it holds and its visitors are those of independent points."""
-        held = visitors = F.lit(float(n))
-        for b, (inside, touched) in zip(own, expected):
-            held, visitors = held * F.get(F.array(*map(F.lit, inside)), b.cast("int")), visitors * F.get(F.array(*map(F.lit, touched)), b.cast("int"))
-        return F.greatest(F.ceil(visitors / F.greatest(held, F.lit(float(VISITORS)))), F.lit(1).cast("long"))
-
-    home, cell, cells, own = F.lit(0), F.lit(0), fps.select("fp"), []
-    for i, v in enumerate(points):
-        inside, low, high = bands(F.bit_count(F.col("fp").bitwiseXOR(F.lit(v))), radius)
-        cells = cells.select("*", F.explode(F.sequence(low, high)).alias(f"b{i}"))
-        home, cell = home * width + inside, cell * width + F.col(f"b{i}")
-        own.append(inside)
-    # Of two homes, the lesser visits the greater: each pair meets once.
-    visits = cells.select("*", cell.alias("cell"), home.alias("home")).filter("cell >= home")
-    salt = F.pmod(F.xxhash64("fp"), salts([F.col(f"b{i}") for i in range(depth)]))
-    visits = visits.select("fp", "cell", salt.alias("salt"), F.lit(False).alias("lives"))
-    copies = F.sequence(F.lit(0).cast("long"), salts(own) - 1)
-    homes = fps.select("fp", home.alias("cell"), F.explode(copies).alias("salt"), F.lit(True).alias("lives"))
+    width = next((w for w, shards in WIDTHS.items() if n <= shards * SHARD), min(WIDTHS))
+    own, visited = cells(vantage_points(fps, width), width, radius)
+    homes, visits = fps.select("fp", own.alias("cell")), fps.select("fp", F.explode(visited).alias("cell"))
+    held = homes.groupBy("cell").agg(F.count(F.lit(1)).alias("held"))
+    met = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("met"))
+    blocks = F.ceil(F.col("held") / SHARD)
+    copies = F.ceil(F.col("met") / F.greatest(F.ceil(F.col("held") / blocks), F.lit(VISITORS)))
+    # As many rows as there are bands to the power of SECTIONS, 83,521 at most. Shards that hold nothing get no visitors.
+    sizes = F.broadcast(cut(held.join(met, "cell").select("cell", blocks.alias("blocks"), copies.alias("copies"))))
+    deal = lambda most: F.pmod(F.xxhash64("fp"), F.col(most))
+    each = lambda most: F.explode(F.sequence(F.lit(0).cast("long"), F.col(most) - 1))
+    homes = homes.join(sizes, "cell").select("fp", "cell", deal("blocks").alias("block"), each("copies").alias("copy"), F.lit(True).alias("lives"))
+    visits = visits.join(sizes, "cell").select("fp", "cell", each("blocks").alias("block"), deal("copies").alias("copy"), F.lit(False).alias("lives"))
 
     def shard(p: pd.DataFrame) -> pd.DataFrame:
         x, lives = p["fp"].to_numpy().view(np.uint64), p["lives"].to_numpy()
         a, b = forest(x[lives], x[~lives], radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return homes.unionByName(visits).groupBy("cell", "salt").applyInPandas(shard, "a long, b long")
+    return homes.unionByName(visits).groupBy("cell", "block", "copy").applyInPandas(shard, "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -109,3 +109,33 @@ def test_empty_table(spark):
 def test_chain_settles(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)], "a long, b long")
     assert {r.label for r in simhash.components(edges).collect()} == {0}
+
+
+def brute(signed, radius):
+    by = {}
+    for k, g in enumerate(groups([x % 2**64 for x in signed], radius)):
+        by.setdefault(g, []).append(signed[k])
+    return {frozenset(v) for v in by.values() if len(v) > 1}
+
+
+def test_all_band_widths_radii_and_blocks(spark, monkeypatch):
+    r = random.Random(3)
+    signed = [int(np.uint64(x).view(np.int64)) for x in near(r, 150, 4)]
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    monkeypatch.setattr(simhash, "VISITORS", 7)
+    for widths, shard, radius in (({3: 58}, 5, 2), ({1: 1}, 1 << 20, 2), ({1: 1}, 3, 1), ({3: 58}, 1 << 20, 4), ({2: 1}, 9, 3), ({3: 58}, 9, 0)):
+        monkeypatch.setattr(simhash, "WIDTHS", widths)
+        monkeypatch.setattr(simhash, "SHARD", shard)
+        label = {}
+        for x in simhash.components(simhash.links(df, radius)).collect():
+            label.setdefault(x.label, set()).add(x.node)
+        assert {frozenset(v) for v in label.values()} == brute(signed, radius), (widths, shard, radius)
+
+
+def test_visits_are_bounded(spark):
+    r = random.Random(4)
+    df = spark.createDataFrame([(r.getrandbits(64) - 2**63,) for _ in range(2000)], "fp long")
+    for width, most in ((3, 33), (1, 41)):
+        _, visited = simhash.cells([r.getrandbits(16) for _ in range(4)], width, 2)
+        sizes = [x.n for x in df.select(simhash.F.size(visited).alias("n")).collect()]
+        assert max(sizes) <= most and min(sizes) >= 1
