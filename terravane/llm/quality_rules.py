@@ -1,12 +1,13 @@
 """Quality rules by weak supervision, in DataFrame operations only.
 
-Eight rules look at counts of a text; each votes good (1), bad (-1) or abstains (0). Votes are counted
-by pattern (at most 3**8 rows, whatever the corpus), and expectation-maximisation over that table
-estimates how each rule votes on good texts and on each kind of junk: its accuracies. There is one kind of
-junk for each rule, since a text is seldom bad in every way at once; two classes alone would settle on
-the most frequent kind and call the others good. The M step keeps two bounds: a rule's bad votes on good
-texts are rare, and a kind's own rule catches at least half of it. A text is kept if its posterior
-probability of being good reaches a threshold.
+Ten rules look at counts of a text; each votes good (1), bad (-1) or abstains (0). Votes are counted by pattern
+(at most 3**10 rows, whatever the corpus), and expectation-maximisation over that table estimates how each rule votes
+on good texts and on each kind of junk: its accuracies. A kind of junk is what several rules ought to notice
+(KINDS), so a rule whose bad votes the others share becomes trusted and one whose bad votes stand alone does not: a
+lone weak vote is outweighed by the good ones, several together are not. Rules are taken to be better than chance, as
+weak supervision needs it to tell classes apart: a rule's share of bad votes is half at least on its own kinds
+and half at most on good texts; within that, the votes decide. An abstaining rule says nothing. A text is
+kept if its posterior probability of being good reaches a threshold.
 
 Edge cases: a null text counts as empty; an empty text has no words and fails the base rules; a null
 doc_id stays null; repeated rows give repeated results; an empty table gives an empty result; further
@@ -18,31 +19,45 @@ from __future__ import annotations
 from math import log
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, words
-
-VOTES = (-1, 0, 1)
-
-
-def counts(docs: DataFrame, *keep: str) -> DataFrame:
-    """The counts that the rules read, one row per document; keep: further columns to carry."""
-    t = docs.select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("t"))
+from .common import SPACE, cut, stored, words
+
+#: Kinds of junk, with the rules that ought to notice each.
+KINDS = {
+    "markup": ("symbols", "clean", "short", "ends"),
+    "shouting": ("upper", "bangs", "clean"),
+    "gibberish": ("length", "clean", "short"),
+    "repetition": ("repeats", "dup_lines", "distinct"),
+}
+#: Before any text is seen: the share of good texts, and of bad votes on good texts, by a kind's own rules and by others.
+GOOD, ALARMS, OWN, OTHER = 0.8, 0.02, 0.7, 0.1
+#: A word of letters, with a mark behind it or not.
+CLEAN = "^[\\p{L}\\p{M}][\\p{L}\\p{M}'’-]*[.,;:!?]?$"
+
+
+def counts(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """The counts that the rules read, one row per document; whole: with the document's row as struct doc."""
+    keep = ["doc"] if whole else []
+    t = docs.select("doc_id", *([F.struct("*").alias("doc")] if whole else []), F.coalesce("text", F.lit("")).alias("t"))
     t = t.select(
         "doc_id", *keep, "t", words(F.col("t")).alias("w"),
         F.filter(F.split("t", "\n", -1), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")).alias("lines"),
-    )
+    ).withColumn("clean", F.filter("w", lambda x: x.rlike(CLEAN)))
     t = t.select(
         "doc_id", *keep, F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        (F.size(F.split("t", "[#*$%&|<>]", -1)) - 1).cast("long").alias("n_symbols"),
+        (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").cast("long").alias("n_lines"),
-        (F.size(F.split("t", "\\p{Lu}", -1)) - 1).cast("long").alias("n_upper"),
+        (F.length("t") - F.length(F.regexp_replace("t", "\\p{Lu}+", ""))).cast("long").alias("n_upper"),
         (F.length("t") - F.length(F.replace("t", F.lit("!")))).cast("long").alias("n_bangs"),
         (F.size(F.split("t", "[.?!](?=[\\x20\\x09-\\x0D]|$)", -1)) - 1).cast("long").alias("n_ends"),
         F.size(F.array_distinct("w")).cast("long").alias("n_distinct"),
+        F.size("clean").cast("long").alias("n_clean"),
+        F.size(F.filter("clean", lambda x: F.length(x) <= 3)).cast("long").alias("n_short"),
         F.transform(
             F.slice("w", F.lit(1), F.greatest(F.size("w") - 2, F.lit(0))),
             lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)),
@@ -73,16 +88,19 @@ def rules() -> dict[str, Column]:
     def high(x: Column, good: float, bad: float) -> Column:
         return F.when(x <= bad, -1).when(x >= good, 1).otherwise(0)
 
-    length, ends = F.col("word_chars") / n, F.col("n_ends") / n
+    length = F.col("word_chars") / n
+    spaced = length <= 12  # else the script may have no spaces between words
     return {
         "symbols": low(F.col("n_symbols") / n, 0.02, 0.1),
+        "clean": F.when(spaced, high(F.col("n_clean") / n, 0.9, 0.7)).otherwise(0),
+        "short": F.when(spaced, high(F.col("n_short") / n, 0.12, 0.05)).otherwise(0),
+        "ends": high(F.col("n_ends") / n, 0.03, 0.01),
         "upper": low(F.col("n_upper") / F.greatest("word_chars", F.lit(1)), 0.12, 0.3),
         "bangs": low(F.col("n_bangs") / n, 0.05, 0.2),
-        "repeats": low(F.col("n_repeat_words") / n, 0.15, 0.35),
-        "dup_lines": low(F.col("n_dup_lines") / lines, 0.1, 0.4),
-        "distinct": high(F.col("n_distinct") / n, 0.3, 0.15),
         "length": F.when((length < 3) | (length > 12), -1).when(length.between(3.5, 9), 1).otherwise(0),
-        "ends": F.when(F.col("n_ends") == 0, -1).when(ends.between(0.004, 0.6), 1).otherwise(0),
+        "repeats": low(F.col("n_repeat_words") / n, 0.1, 0.3),
+        "dup_lines": low(F.col("n_dup_lines") / lines, 0.1, 0.3),
+        "distinct": high(F.col("n_distinct") / F.sqrt(n), 4, 2.5),  # the words of long texts repeat more
     }
 
 
@@ -91,80 +109,78 @@ def votes(counted: DataFrame) -> DataFrame:
 
 
 class Model(NamedTuple):
-    """weight: of each class ("good" or a kind of junk); vote: class, rule and vote to its probability."""
+    """weight: the share of each class ("good" or a kind of junk); bad: of class and rule, the share of bad votes among its votes."""
 
     weight: dict[str, float]
-    vote: dict[str, dict[str, dict[int, float]]]
+    bad: dict[str, dict[str, float]]
 
-    def posterior(self) -> dict[str, Column]:
+    def posterior(self) -> Column:
+        """The probability of being good, from the columns v_<rule>."""
         score = {}
         for c, w in self.weight.items():
             score[c] = F.lit(log(w))
-            for k, p in self.vote[c].items():
+            for k, p in self.bad[c].items():
                 v = F.col(f"v_{k}")
-                score[c] = score[c] + F.when(v == -1, log(p[-1])).when(v == 1, log(p[1])).otherwise(log(p[0]))
-        all_of = sum((F.exp(x) for x in score.values()), F.lit(0.0))
-        return {c: F.exp(x) / all_of for c, x in score.items()}
-
+                score[c] = score[c] + F.when(v == -1, log(p)).when(v == 1, log(1 - p)).otherwise(0.0)
+        top = F.greatest(*score.values())
+        return F.exp(score["good"] - top) / sum((F.exp(x - top) for x in score.values()), F.lit(0.0))
 
-def start(names: list[str], false_alarms: float) -> Model:
-    good = {k: {-1: false_alarms, 0: 0.05, 1: 0.95 - false_alarms} for k in names}
-    junk = {c: {k: {-1: 0.9, 0: 0.05, 1: 0.05} if k == c else {-1: 0.15, 0: 0.15, 1: 0.7} for k in names} for c in names}
-    return Model({"good": 0.8} | dict.fromkeys(names, 0.2 / len(names)), {"good": good} | junk)
 
-
-def bounded(p: dict[int, float], least: float, most: float) -> dict[int, float]:
-    """p with its bad votes held between two bounds, the others in proportion."""
-    bad = min(max(p[-1], least), most)
-    return {-1: bad} | {x: p[x] * (1 - bad) / (1 - p[-1]) for x in (0, 1)}
+def start() -> Model:
+    names = list(rules())
+    junk = {c: {k: OWN if k in own else OTHER for k in names} for c, own in KINDS.items()}
+    return Model({"good": GOOD} | dict.fromkeys(KINDS, (1 - GOOD) / len(KINDS)), {"good": dict.fromkeys(names, ALARMS)} | junk)
 
 
-def fit(voted: DataFrame, rounds: int = 12, strength: float = 50.0, false_alarms: float = 0.003) -> Model:
-    """Expectation-maximisation over the counted vote patterns; each round is one small aggregate.
+def fit(voted: DataFrame, rounds: int = 200, strength: float = 20.0) -> Model:
+    """Expectation-maximisation over the counted vote patterns, of which the driver gets 3**10 rows at most.
 
-    The start values count as so many texts (strength), so that small tables stay near them and no probability
-    is zero; false_alarms bounds the bad votes on good texts. An empty table leaves the start values.
+    The start values count as so many texts of each class (strength), so that small tables stay near them and no
+    probability is zero. An empty table leaves the start values.
     """
-    names = list(rules())
-    model = first = start(names, false_alarms)
-    patterns = cut(voted.groupBy(*(f"v_{k}" for k in names)).count().coalesce(1))
+    first, names = start(), list(rules())
+    pattern = sum(((F.col(f"v_{k}") + 1) * 3**i for i, k in enumerate(names)), F.lit(0).cast("long"))
+    rows = sorted((r.pattern, r.n) for r in voted.groupBy(pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("n")).collect())
+    if not rows:
+        return first
+    seen = np.array([[x // 3**i % 3 - 1 for i in range(len(names))] for x, _ in rows])
+    n = np.array([float(m) for _, m in rows])
+    bad, good = (seen == -1).astype(float), (seen == 1).astype(float)
+    w0, p0 = np.array(list(first.weight.values())), np.array([list(x.values()) for x in first.bad.values()])
+    own = np.array([[k in KINDS.get(c, ()) for k in names] for c in first.weight])
+    w, p = w0, p0
     for _ in range(rounds):
-        weighed = patterns.select(*patterns.columns, *((F.col("count") * p).alias(f"p_{c}") for c, p in model.posterior().items()))
-        each = weighed.select("*", F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), F.col(f"v_{k}").alias("vote")) for k in names))).alias("x"))
-        rows = each.groupBy("x.rule", "x.vote").agg(*(F.sum(f"p_{c}").alias(c) for c in model.weight)).collect()
-        if not rows:
-            return model
-        sums = {(r["rule"], r["vote"]): r for r in rows}
-        weight, vote = {}, {}
-        for c in model.weight:
-            prior = strength * first.weight[c]
-            n = {k: {x: (sums[k, x][c] if (k, x) in sums else 0.0) + prior * first.vote[c][k][x] for x in VOTES} for k in names}
-            size = sum(n[names[0]].values())
-            weight[c] = size
-            vote[c] = {k: {x: y / size for x, y in n[k].items()} for k in names}
-            vote[c] = {k: bounded(p, *((0, false_alarms) if c == "good" else (0.5 if k == c else 0, 1))) for k, p in vote[c].items()}
-        new = Model({c: w / sum(weight.values()) for c, w in weight.items()}, vote)
-        settled = all(abs(new.weight[c] - model.weight[c]) < 1e-6 for c in new.weight)
-        model = new
-        if settled:
+        score = np.log(w) + bad @ np.log(p).T + good @ np.log(1 - p).T
+        share = np.exp(score - score.max(axis=1, keepdims=True))
+        share *= (n / share.sum(axis=1))[:, None]
+        sums, of = share.T @ bad, share.T @ (bad + good)
+        new_p = (sums + strength * p0) / (of + strength)
+        new_p[0] = np.minimum(new_p[0], 0.5)
+        new_p[own] = np.maximum(new_p[own], 0.5)
+        new_w = share.sum(axis=0) + strength * w0
+        new_w /= new_w.sum()
+        change = max(abs(new_w - w).max(), abs(new_p - p).max())
+        w, p = new_w, new_p
+        if change < 1e-9:
             break
-    return model
+    classes = list(first.weight)
+    return Model(dict(zip(classes, w.tolist())), {c: dict(zip(names, x)) for c, x in zip(classes, p.tolist())})
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def judge(docs: DataFrame, *keep: str, least: float = 0.5) -> DataFrame:
-    """doc_id, keep, the counts, the votes, base_failed, quality (posterior) and kept for every document."""
-    voted = cut(votes(counts(docs, *keep)))
-    scored = voted.withColumns({"base_failed": base_failed(), "quality": fit(voted).posterior()["good"]})
+def _judged(voted: DataFrame, least: float) -> DataFrame:
+    scored = voted.withColumns({"base_failed": base_failed(), "quality": fit(voted).posterior()})
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
 
 
+def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """doc_id, the counts, the votes, base_failed, quality (posterior) and kept for every document."""
+    return _judged(cut(votes(counts(docs))), least)
+
+
 def keep_good(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents that pass, with all their columns; a verdict depends on the text alone."""
-    keyed = docs.withColumn("__tv_text", F.sha2(F.coalesce("text", F.lit("")), 256))
-    # Cut off, so that the join has exchanges of its own and a text with very many copies is split.
-    good = cut(judge(keyed, "__tv_text", least=least).filter("kept").select(F.col("__tv_text").alias("__tv_good")).distinct())
-    return keyed.join(good, F.col("__tv_text") == F.col("__tv_good"), "left_semi").drop("__tv_text")
+    """The documents that pass, with all their columns."""
+    return _judged(stored(votes(counts(docs, whole=True)), "votes"), least).filter("kept").select("doc.*")
