@@ -7,6 +7,9 @@ was queued is stale and skipped. Every step costs the same whatever the length o
 Short pre-tokens share one queue, many at a time: of each rank's bucket the leftmost position of every
 pre-token is merged at once, as pre-tokens don't touch each other. Long ones have a queue each.
 
+The pattern's character classes are those of the tiktoken library, whose Unicode version is not that of the
+module regex: characters of which the two think otherwise are matched by stand-ins of the right classes.
+
 Edge cases: a null or empty text has no ids; special strings are text; texts of any length are encoded
 whole; repeated rows give repeated results; an empty table gives an empty result; further columns are
 ignored.
@@ -72,13 +75,31 @@ class RankQueue:
         return r, self.buckets.pop(r)
 
 
+def stand_ins(pattern: str) -> dict[str, str]:
+    """ASCII characters for those that the module regex has in other classes of the pattern than tiktoken has."""
+    import tiktoken
+
+    bytes_alone = {bytes([b]): b for b in range(256)}
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    own, theirs = [], []
+    for name in sorted(set(regex.findall(r"\\[pP]\{\w+\}|\\[sSwWdD]", pattern))):
+        found = tiktoken.Encoding(name, pat_str=f"{name}+", mergeable_ranks=bytes_alone, special_tokens={}).encode_ordinary(every)
+        theirs.append(frozenset(bytes(found).decode()))
+        own.append(frozenset("".join(regex.findall(f"{name}+", every))))
+    classes = lambda c, of: tuple(c in x for x in of)
+    ascii_of = {classes(c, own): c for c in map(chr, range(9, 127)) if c not in pattern}
+    return {c: ascii_of[classes(c, theirs)] for c in set().union(*(a ^ b for a, b in zip(own, theirs)))}
+
+
 class ByteBpe:
     def __init__(self, path: str, pattern: str) -> None:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.bytes = {k: b for b, k in self.ranks.items()}
         self.digits = {k: str(k) for k in self.bytes}
-        self.find = regex.compile(pattern).findall
+        self.match = regex.compile(pattern)
+        self.stand_ins = stand_ins(pattern)
+        self.table = str.maketrans(self.stand_ins)
         self.known: dict[str, tuple[str, bytes]] = {}
         self.words = Remembered(self.word, 200_000)
         self.none = max(self.bytes) + 1  # in the place of a neighbour where there is none
@@ -88,6 +109,13 @@ class ByteBpe:
         self.pairs, self.made = np.ascontiguousarray(pairs[:, 0]), pairs[:, 1].astype(np.int32)
         self.single = np.array([self.ranks.get(bytes([b]), self.none) for b in range(256)], np.int64)
 
+    def find(self, text: str) -> list[str]:
+        """The pre-tokens of a text."""
+        if text.isascii() or self.stand_ins.keys().isdisjoint(text):
+            return self.match.findall(text)
+        shown = text.translate(self.table)
+        return [text[m.start() : m.end()] for m in self.match.finditer(shown)]
+
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of neighbouring ids, or -1."""
         key = a * (self.none + 1) + b

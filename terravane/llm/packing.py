@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
-from .word_bpe import WordBpe, chunks
+from .word_bpe import WordBpe
 
 #: Pieces in each group whose ranks one task counts.
 GROUP = 200_000
@@ -56,7 +56,7 @@ class Encoder:
         parts = [new[k : k + CHUNKS] for k in range(0, len(new), CHUNKS)]
         for part, e in zip(parts, self.library.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
-            words = np.cumsum([1 if c.isalpha() else len(self.bpe.find(c)) for c in part])
+            words = np.cumsum([1 if c.isascii() and c.isalpha() else len(self.bpe.words(c)) for c in part])
             ends = np.flatnonzero(self.ends[ids])
             if len(ends) == words[-1]:
                 at = [0, *(4 * (ends[words - 1] + 1)).tolist()]
@@ -69,6 +69,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         special = {s: k.to_bytes(4, "little") for s, k in self.bpe.special.items()}
         split: list[list[str]] = []
+        chunks = self.bpe.chunks
         marks: dict[int, list[tuple[int, bytes]]] = {}
         for k, t in enumerate(texts):
             if "<" in t and self.bpe.specials.search(t):

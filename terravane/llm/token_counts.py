@@ -31,7 +31,7 @@ def whole_tokens(bpe: WordBpe) -> frozenset[str]:
                 word = bytes(back[c] for c in s[: -len(bpe.end)]).decode()
             except (KeyError, UnicodeDecodeError):
                 continue
-            if bpe.find(word) == [word] and bpe.tokens(word) == [s]:
+            if bpe.words(word) == [word] and bpe.tokens(word) == [s]:
                 found.append(word)
     return frozenset(found)
 
@@ -45,7 +45,7 @@ class Counter:
     def chunk(self, chunk: str) -> int:
         if chunk in self.whole:
             return 1
-        return sum(1 if w in self.whole else len(self.bpe.tokens(w)) for w in self.bpe.find(chunk))
+        return sum(1 if w in self.whole else len(self.bpe.tokens(w)) for w in self.bpe.words(chunk))
 
     def count(self, text: str) -> int:
         chunks, special = self.bpe.parts(text)

@@ -1,7 +1,9 @@
 """Word-end BPE vocabularies (lower case, white space dropped), encoded chunk by chunk.
 
 A chunk is a text's part between white space; its tokens depend on nothing else, so each is encoded once
-and remembered, up to a bound of remembered chunks.
+and remembered, up to a bound of remembered chunks. What Unicode says of a character (its class, its lower case,
+how it composes) differs between the versions of Python and of the tokenizers library, so chunks that
+are not ASCII get their normal form and their pre-tokens from the library's own normaliser and splitter.
 """
 
 from __future__ import annotations
@@ -9,10 +11,10 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import unicodedata
 from collections.abc import Callable
 
 import regex
+from tokenizers import Tokenizer
 
 #: White space as the vocabulary's patterns have it; Python's also has U+001C to U+001F.
 WHITE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
@@ -28,17 +30,6 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
-def chunks(text: str) -> list[str]:
-    """The normalised chunks of a text without special strings."""
-    if not text.isascii():
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        text = text.replace("Σ", "σ")  # a final sigma gets no form of its own
-    if _separators(text):
-        return [x for x in _split_white(text.lower()) if x]
-    return text.lower().split()
-
-
 class Remembered(dict):
     """A dict that computes what it lacks and forgets everything once it is full."""
 
@@ -67,6 +58,24 @@ class WordBpe:
         self.find = regex.compile(pattern.replace("\\s", WHITE[1:-2])).findall
         self.specials = re.compile("|".join(map(re.escape, self.special)) or "(?!)")
         self.letters = byte_letters()
+        self.library = Tokenizer.from_file(path)
+        self.normal = Remembered(self.library.normalizer.normalize_str)
+
+    def chunks(self, text: str) -> list[str]:
+        """The normalised chunks of a text without special strings."""
+        if _separators(text):
+            parts = [x for x in _split_white(text) if x]
+        elif text.isascii():
+            return text.lower().split()
+        else:
+            parts = text.split()
+        return [x.lower() if x.isascii() else self.normal[x] for x in parts]
+
+    def words(self, chunk: str) -> list[str]:
+        """The pre-tokens of a normalised chunk."""
+        if chunk.isascii():
+            return self.find(chunk)
+        return [chunk[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
 
     def symbols(self, word: str) -> list[str]:
         s = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
@@ -111,5 +120,5 @@ class WordBpe:
     def parts(self, text: str) -> tuple[list[str], list[int]]:
         """(chunks, special ids) of a text, for counts."""
         if "<" not in text or not (found := self.specials.findall(text)):
-            return chunks(text), []
-        return [c for part in self.specials.split(text) for c in chunks(part)], [self.special[x] for x in found]
+            return self.chunks(text), []
+        return [c for part in self.specials.split(text) for c in self.chunks(part)], [self.special[x] for x in found]

@@ -193,3 +193,49 @@ def test_plan_places_every_piece():
             for s in p.lengths:
                 found[s] += p.times
         assert found == count
+
+
+def every_character():
+    """Texts with every code point in three contexts, some hundred to a text; what the libraries think of each shows."""
+    points = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x110000))]
+    used = [c for c in points if ord(c) < 0x32000 or 0xE0000 <= ord(c) < 0xE0200 or ord(c) % 997 == 0]  # beyond them nothing is assigned
+    for k in range(0, len(used), 200):
+        part = used[k : k + 200]
+        yield " ".join(f"ab{c}cd 1{c}2 {c}'s" for c in part)
+        yield "".join(f"x {c}'s{c}e\u0301{c} " for c in part)
+
+
+def test_every_character_counts_as_the_library_has_it(library):
+    c = token_counts.counter(WORDS)
+    texts = list(every_character())
+    for t, e in zip(texts, library.encode_batch_fast(texts, add_special_tokens=False)):
+        assert c.count(t) == len(e.ids), t
+
+
+def test_every_character_packs_as_the_library_has_it(library):
+    texts = list(every_character())
+    e = packing.encoder(WORDS)
+    for k in range(0, len(texts), 256):
+        part = texts[k : k + 256]
+        for t, b, x in zip(part, e.encode(part), library.encode_batch_fast(part, add_special_tokens=False)):
+            assert np.frombuffer(b, "<u4").tolist() == x.ids, t
+
+
+def test_every_character_splits_as_the_library_has_it(ranks):
+    bpe = byte_bpe.byte_bpe(BYTES, P.PATTERN)
+    for t in every_character():
+        bpe.remember([t])
+        want = ranks.encode_ordinary(t)
+        assert bpe.digests(t)[:2] == (len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()), t
+
+
+@pytest.mark.parametrize("run", [lambda d: token_counts.token_counts(d, WORDS), lambda d: packing.packed(d, WORDS), lambda d: byte_bpe.round_trip(d, BYTES, P.PATTERN)])
+def test_odd_tables(spark, run):
+    """Nulls in any column, empty and long texts, repeated rows, clashing columns, and no rows at all."""
+    from edge import ODD, documents
+
+    rows = run(documents(spark, ODD)).collect()
+    assert {r.doc_id for r in rows} == {k for k, _ in ODD}
+    per = Counter(r.doc_id for r in rows if getattr(r, "piece", 0) == 0)
+    assert per == Counter(k for k, _ in ODD)  # rows that repeat give rows that repeat
+    assert run(documents(spark, []).limit(0)).collect() == []
