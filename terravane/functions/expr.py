@@ -169,5 +169,10 @@ def status_message(code: Column) -> Column:
     )
 
 
+def elapsed_ms(started: Column, ended: Column) -> Column:
+    """Whole milliseconds between two timestamps; null if either is missing."""
+    return F.floor((F.unix_micros(ended) - F.unix_micros(started)) / 1000)
+
+
 def probe_status(url: Column, code: Column, error: Column) -> Column:
     return F.when(blank_to(url, "") == "", "Missing URL").when(error.isNotNull(), "Check failed").when(code.isNull(), "Not checked").when(code.between(200, 399), "Reachable").otherwise("Check warning")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terravane import fixed
@@ -98,6 +98,7 @@ def evidence_tables(a: str = "analysis") -> Column:
     table = lambda rows: F.array(*(row(F.lit(k), md_value(v), source_file if note is None else F.lit(note)) for k, v, note in rows))
     each = lambda items, line, none: F.when(F.size(items) > 0, F.transform(items, line)).otherwise(say(none))
     evidence = c("evidence")
+    # Notes, headings and column names of the tables below.
     limits = F.concat(c("sources.data_limitations"), c("area_limitations"), c("risk.assumptions"), F.array_compact(F.array(F.nullif(c("community.data_source_note"), F.lit("")))))
     lines = F.concat(
         F.array(*map(F.lit, (
@@ -165,13 +166,23 @@ def table_cells(line: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(line, "^\\|+|\\|+$", ""), "\\|"), strip)
 
 
+def table_width(lines: Column) -> Column:
+    """The cells of a table's widest row; 0 without rows."""
+    return F.coalesce(F.array_max(F.transform(lines, lambda x: F.size(table_cells(x)))), F.lit(0))
+
+
 def is_separator_row(line: Column) -> Column:
     return F.forall(table_cells(line), lambda c: F.regexp_like(c, F.lit("^[-: ]*-[-: ]*$")))
 
 
+def lines_of(text: Column) -> Column:
+    """All lines, stripped."""
+    return F.transform(F.split(text, "\r\n|\r|\n"), strip)
+
+
 def lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, line_no (from 0), line: all lines, stripped."""
-    return docs.select(key, F.posexplode(F.split(text, "\r\n|\r|\n"))).select(key, F.col("pos").alias("line_no"), strip(F.col("col")).alias("line"))
+    """key, line_no (from 0), line."""
+    return docs.select(key, F.posexplode(lines_of(F.col(text)))).select(key, F.col("pos").alias("line_no"), F.col("col").alias("line"))
 
 
 def kind(line: Column) -> Column:
@@ -183,26 +194,37 @@ def kind(line: Column) -> Column:
 
 
 def blocks(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, block_no, kind, first_line, lines: runs of table lines are one block, every other line its own."""
-    typed = lines(docs, key, text).withColumn("kind", kind(F.col("line")))
-    order = Window.partitionBy(key).orderBy("line_no")
-    starts = (F.col("kind") != "table") | F.coalesce(F.lag("kind").over(order) != "table", F.lit(True))
-    numbered = typed.withColumn("block_no", F.sum(starts.cast("int")).over(order))
-    own = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
-    return numbered.groupBy(key, "block_no").agg(F.min_by("kind", "line_no").alias("kind"), F.min("line_no").alias("first_line"), own.alias("lines")).filter("kind <> 'blank'")
+    """key, block_no, kind, first_line, lines: runs of table lines are one block, every other line its own.
+
+    A report is one row, so its lines stay together: nothing is shuffled.
+    """
+    typed = docs.select(key, lines_of(F.col(text)).alias("__lines"))
+    typed = typed.withColumn("__kinds", F.transform("__lines", kind))
+    begins = F.filter(F.sequence(F.lit(0), F.size("__lines") - 1), lambda k: (F.get("__kinds", k) != "table") | (k == 0) | (F.get("__kinds", k - 1) != "table"))
+    starts = typed.withColumn("__starts", begins)
+    block = F.transform(
+        "__starts",
+        lambda k, no: F.struct(
+            (no + 1).alias("block_no"), F.get("__kinds", k).alias("kind"), k.alias("first_line"),
+            F.slice("__lines", k + 1, F.coalesce(F.get("__starts", no + 1), F.size("__lines")) - k).alias("lines"),
+        ),
+    )
+    return starts.select(key, F.inline(F.filter(block, lambda b: b["kind"] != "blank")))
 
 
 def report_meta(docs: DataFrame, key: str, text: str = "text", skip_title: str = "report") -> DataFrame:
     """key, title, location, audience: first heading but the default one, else the first short line; the last named places."""
-    said = lines(docs, key, text).withColumn("plain", plain(F.col("line")))
-    heading = F.startswith("line", F.lit("#")) & (F.col("plain") != "") & (F.lower("plain") != skip_title)
-    short = (F.col("plain") != "") & (F.length("plain") <= 80)
-    named = lambda k: F.nullif(F.regexp_extract("plain", f"(?i)^{k}[:\\s]+(.+)$", 1), F.lit(""))
-    found = said.groupBy(key).agg(
-        F.min_by("plain", F.when(heading, F.col("line_no"))).alias("heading"), F.min_by("plain", F.when(short, F.col("line_no"))).alias("short"),
-        *(F.max_by(strip(named(k)), F.when(named(k).isNotNull(), F.col("line_no"))).alias(k) for k in ("location", "audience")),
-    )
-    return found.select(key, F.coalesce("heading", "short", F.lit(fixed.DEFAULT_TITLE)).alias("title"), *(F.coalesce(k, F.lit(fixed.UNKNOWN)).alias(k) for k in ("location", "audience")))
+    said = docs.select(key, lines_of(F.col(text)).alias("__lines"))
+    said = said.withColumn("__said", F.transform("__lines", lambda x: F.struct(x.alias("line"), plain(x).alias("plain"))))
+    heading = F.filter("__said", lambda x: F.startswith(x["line"], F.lit("#")) & (x["plain"] != "") & (F.lower(x["plain"]) != skip_title))
+    short = F.filter("__said", lambda x: (x["plain"] != "") & (F.length(x["plain"]) <= 80))
+
+    def named(k: str) -> Column:
+        found = F.filter(F.transform("__said", lambda x: F.regexp_extract(x["plain"], f"(?i)^{k}[:\\s]+(.+)$", 1)), lambda x: x != "")
+        return F.coalesce(strip(F.try_element_at(found, F.lit(-1))), F.lit(fixed.UNKNOWN)).alias(k)
+
+    title = F.coalesce(F.get(heading, 0)["plain"], F.get(short, 0)["plain"], F.lit(fixed.DEFAULT_TITLE))
+    return said.select(key, title.alias("title"), named("location"), named("audience"))
 
 
 def with_heading(text: Column, title: str) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from terravane import fixed
 from terravane.functions.expr import blank_to, has_keyword, ordered_distinct, overlaps
+from terravane.operators.areas import first_per
 from terravane.operators.small import MOST, theta_join
 
 
@@ -112,7 +113,7 @@ def community_matches(profiles: DataFrame, community: DataFrame) -> DataFrame:
     first = F.min_by("row", F.struct("tier", "seq")).alias("row")
     near = theta_join(asked.filter("said <> ''"), rows, lambda: overlaps(F.col("said"), F.col("name"))).select("request_id", F.lit(1).alias("tier"), "seq", "row")
     by_state = rows.groupBy("row_state").agg(F.min_by("row", "seq").alias("row"), F.min("seq").alias("seq"))
-    remote = asked.filter(F.contains("plan", F.lit("remote"))).join(by_state, F.col("said_state") == F.col("row_state")).select("request_id", F.lit(2).alias("tier"), "seq", "row")
+    remote = theta_join(asked.filter(F.contains("plan", F.lit("remote"))), by_state, lambda: F.col("said_state") == F.col("row_state")).select("request_id", F.lit(2).alias("tier"), "seq", "row")
     return near.unionByName(remote).groupBy("request_id").agg(first).select("request_id", "row.*")
 
 
@@ -142,12 +143,17 @@ def location_terms(location: Column) -> Column:
 
 
 def lga_candidates(profiles: DataFrame, lga: DataFrame, most: int = 5) -> DataFrame:
-    """request_id, lga_candidates: the first local government areas of the state that share a term with the location."""
-    terms = profiles.select("request_id", F.lower("state").alias("s"), F.explode(location_terms(F.col("location"))).alias("term"))
-    named = lga.withColumn("s", F.lower("state_name_2021")).withColumn("name", F.lower("lga_name_2025"))
-    hit = terms.join(named, (terms["s"] == named["s"]) & overlaps(F.col("term"), F.col("name")))
+    """request_id, lga_candidates: the first local government areas of the state that share a term with the location.
+
+    The register is broadcast within its checked size, so requests are not shuffled by state; no more than the first
+    areas of a request are gathered.
+    """
+    terms = profiles.select("request_id", F.lower("state").alias("s"), F.explode(F.array_distinct(location_terms(F.col("location")))).alias("term"))
+    named = lga.withColumn("lga_state", F.lower("state_name_2021")).withColumn("name", F.lower("lga_name_2025"))
+    hit = theta_join(terms, named, lambda: (F.col("s") == F.col("lga_state")) & overlaps(F.col("term"), F.col("name")))
     shown = F.struct("seq", *(F.col(c) for c in ("lga_code_2025", "lga_name_2025", "state_name_2021", "mesh_block_count", "area_albers_sqkm")), F.lit("lga_2025_summary.csv").alias("source_file"))
-    found = hit.groupBy("request_id").agg(F.slice(F.array_sort(F.collect_set(shown)), 1, most).alias("x"))
+    first = first_per(hit.select("request_id", shown.alias("shown")).distinct(), "request_id", most, "shown")
+    found = first.groupBy("request_id").agg(F.array_sort(F.collect_list("shown")).alias("x"))
     plain = found.select("request_id", F.transform("x", lambda x: x.dropFields("seq")).alias("lga_candidates"))
     kind = plain.schema["lga_candidates"].dataType
     return profiles.select("request_id").join(plain, "request_id", "left").select("request_id", F.coalesce("lga_candidates", F.array().cast(kind)).alias("lga_candidates"))

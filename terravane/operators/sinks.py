@@ -24,17 +24,23 @@ def stamped(rows: DataFrame, **stamps: Column | str) -> DataFrame:
     return rows.withColumns({k: F.lit(v) if isinstance(v, str) else v for k, v in stamps.items()})
 
 
-def write_features_by_state(features: DataFrame, path: str, state: str = "state_name_2021") -> None:
-    """One folder per state, "Unknown" without one, a JSON feature per line; readers prune by state_slug."""
+def in_parts(rows: DataFrame, key: str, most: int, *content: str) -> DataFrame:
+    """rows with __part, so that the parts of a key hold about `most` rows each: as many parts as the key's rows need."""
+    parts = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / most).alias("__parts"))
+    return rows.join(parts, key).withColumn("__part", F.pmod(F.xxhash64(*content), F.col("__parts"))).drop("__parts")
+
+
+def write_features_by_state(features: DataFrame, path: str, state: str = "state_name_2021", most: int = 100_000) -> None:
+    """One folder per state, "Unknown" without one, a JSON feature per line, `most` or so to a task; readers prune by state_slug."""
     keyed = features.withColumn("state_slug", file_slug(blank_to(F.col(state), "Unknown")))
-    # Salted by content, so that a state with most rows is written by many tasks.
-    salt = F.pmod(F.xxhash64(*features.columns), F.lit(16))
-    keyed.withColumn("__salt", salt).repartition("state_slug", "__salt").drop("__salt").write.mode("overwrite").partitionBy("state_slug").json(path)
+    dealt = in_parts(keyed, "state_slug", most, *features.columns)
+    dealt.repartition("state_slug", "__part").drop("__part").write.mode("overwrite").partitionBy("state_slug").json(path)
 
 
-def collections(features: DataFrame, feature: str, state: str = "state") -> DataFrame:
-    """state, geojson: one FeatureCollection per state, for states of bounded size."""
-    return features.groupBy(F.coalesce(F.nullif(state, F.lit("")), F.lit("Unknown")).alias("state")).agg(
+def collections(features: DataFrame, feature: str, state: str = "state", most: int = 10_000) -> DataFrame:
+    """state, part, geojson: FeatureCollections of about `most` features; a state with no more has part 0 alone."""
+    named = features.select(F.coalesce(F.nullif(state, F.lit("")), F.lit("Unknown")).alias("state"), feature)
+    return in_parts(named, "state", most, feature).groupBy("state", F.col("__part").alias("part")).agg(
         F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))).alias("geojson")
     )
 

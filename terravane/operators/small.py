@@ -11,22 +11,26 @@ from pyspark.sql import functions as F
 MOST = 20_000
 
 
-def blocks(dimension: DataFrame, key: str = "seq", most: int = MOST) -> Iterator[DataFrame]:
-    """The dimension whole if it has at most `most` rows, else in ranges of key (long, not negative) of about that size."""
-    n = dimension.limit(most + 1).count()
-    if n <= most:
+def blocks(dimension: DataFrame, most: int = MOST) -> Iterator[DataFrame]:
+    """The dimension whole if it has at most `most` rows, else in blocks by a hash of all columns; each row is in one block.
+
+    Blocks hold about half of `most`. One that holds more all the same, as of very many equal rows, is not broadcast.
+    """
+    if dimension.limit(most + 1).count() <= most:
         yield F.broadcast(dimension)
         return
-    last = dimension.agg(F.max(key)).first()[0]
-    for low in range(0, last + 1, most):
-        part = dimension.filter((F.col(key) >= low) & (F.col(key) < low + most))
-        yield F.broadcast(part.limit(most)) if part.limit(most + 1).count() <= most else part
+    n = -(-2 * dimension.count() // most)
+    block = F.pmod(F.xxhash64(*dimension.columns), F.lit(n))
+    sizes = dict(dimension.groupBy(block.alias("b")).count().collect())
+    for b in sorted(sizes):
+        part = dimension.filter(block == b)
+        yield F.broadcast(part) if sizes[b] <= most else part
 
 
-def theta_join(rows: DataFrame, dimension: DataFrame, on: Callable[[], Column], key: str = "seq", most: int = MOST) -> DataFrame:
-    """Inner join on a condition without equality, all rows against the stated dimension block by block."""
+def theta_join(rows: DataFrame, dimension: DataFrame, on: Callable[[], Column], most: int = MOST) -> DataFrame:
+    """Inner join on any condition, all rows against the stated dimension block by block; equal results at every size."""
     out = None
-    for part in blocks(dimension, key, most):
+    for part in blocks(dimension, most):
         one = rows.join(part, on())
         out = one if out is None else out.unionByName(one)
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -95,8 +96,12 @@ def analyse(requests: DataFrame, r: Registers, mode: str = "substring", compat:
     return found.select("request_id", analysis.alias("analysis"))
 
 
-def prompts(analysed: DataFrame) -> DataFrame:
-    """request_id and prompt: the analysis as context for a language model."""
+def prompts(analysed: DataFrame, sections: Sequence[tuple[str, str]] = (), rules: Sequence[str] = (), task: str = "", governance: str = "") -> DataFrame:
+    """request_id and prompt: the analysis as context for a language model.
+
+    task stands first and governance next; sections, the report's template as (title, requirement), are asked for in
+    their order, and rules of form and safety come last, after the notice that a report begins with.
+    """
     a = lambda path: F.col(f"analysis.{path}")
     listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n")
     parts = {
@@ -105,7 +110,15 @@ def prompts(analysed: DataFrame) -> DataFrame:
         "Planning priorities": listed(a("plan.planning_priorities")), "Vulnerability notes": listed(a("community.vulnerability_notes")),
         "Official sources": listed(F.transform(a("sources.sources"), lambda s: F.concat_ws(": ", s["name"], s["purpose"]))), "Extra context": a("profile.extra_context"),
     }
-    return analysed.select("request_id", text.prompt(parts).alias("prompt"))
+    codes = F.array_join(F.transform(a("evidence"), lambda e: F.concat(F.lit("- "), F.concat_ws(" | ", *(e[k] for k in ("code", "evidence_class", "confidence_boundary", "required_review", "current_use"))))), "\n")
+    if sections:
+        parts["Evidence confidence and provenance"] = codes
+        parts["Report structure, complete and in this order"] = F.lit("\n".join(f"{title}\nRequirement: {wanted}" for title, wanted in sections))
+    if rules:
+        parts["Notice at the start"] = F.lit(fixed.NOTICE)
+        parts["Rules"] = F.lit("\n".join(f"- {x}" for x in rules))
+    head = [F.lit(x) for x in (task, governance) if x]
+    return analysed.select("request_id", F.concat_ws("\n\n", *head, text.prompt(parts)).alias("prompt"))
 
 
 def finished(drafts: DataFrame, analysed: DataFrame) -> DataFrame:

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terravane import fixed
+from terravane import fixed, schemas
 from terravane.functions import lint, text
-from terravane.functions.expr import first_error, has_keyword, missing_terms, ordered_distinct, overlaps, slug, support_band, terms_found
-from terravane.operators import areas, etl, lineage, matching
+from terravane.functions.expr import elapsed_ms, first_error, has_keyword, missing_terms, ordered_distinct, overlaps, slug, support_band, terms_found
+from terravane.operators import areas, etl, lineage, matching, sinks
 from terravane.operators.small import theta_join
 from terravane.streaming import alerts
 
@@ -47,28 +47,39 @@ def units(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
 
 
-def cents(c: str) -> Column:
-    """An amount in whole cents, so that sums don't depend on their order."""
-    return F.round(F.col(c) * 100).cast("long")
+UNITS = "customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 
 
-UNITS = "customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+# customer as SA2 units: counts from its keys, as text, some blank or unreadable. Totals are exact; the percentages of these tables are no ties.
+_SA2 = f"""sa2 AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'Even' ELSE 'Odd' END AS state_name, r_name AS sa4_name, n_name AS sa3_name, CASE WHEN c_custkey % 13 = 0 THEN 0 ELSE 900 + c_custkey % 501 END AS population,
+    c_custkey % 97 AS older, CASE WHEN c_custkey % 17 = 0 THEN 0 ELSE n_nationkey * 10 + c_custkey % 7 END AS language FROM {UNITS})"""
+_PCT = lambda x: f"CASE WHEN sum(population) > 0 THEN round(100.0::DOUBLE * sum({x}) / sum(population), 1) END"
+_INDICATORS = f"""count(*) AS sa2_count, sum(population)::BIGINT AS population, {_PCT("older")} AS older_people_pct, {_PCT("language")} AS language_other_than_english_pct,
+    CASE WHEN sum(population) = 0 THEN 'unknown' WHEN {_PCT("language")} >= 20 THEN 'high' WHEN {_PCT("language")} >= 8 THEN 'medium' ELSE 'low' END AS language_support_needed"""
+SHOWN = ("sa2_count", "population", "older_people_pct", "language_other_than_english_pct", "language_support_needed")
 
 
-@query(
-    "q01_area_rollup",
-    f"SELECT r_name AS area_name, count(*) AS sa2_count, sum(CAST(round(c_acctbal * 100) AS BIGINT))::BIGINT AS total_cents, count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS older FROM {UNITS} GROUP BY r_name",
-)
-def area_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return units(spark, d).groupBy(F.col("r_name").alias("area_name")).agg(
-        F.count(F.lit(1)).alias("sa2_count"), F.sum(cents("c_acctbal")).alias("total_cents"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("older")
+def sa2(spark: SparkSession, d: str) -> DataFrame:
+    no, n = F.col("c_custkey"), F.col("n_nationkey")
+    return units(spark, d).select(
+        F.when(n % 2 == 0, "Even").otherwise("Odd").alias("state_name"), F.col("r_name").alias("sa4_name"), F.col("n_name").alias("sa3_name"), F.col("c_name").alias("sa2_name"),
+        F.when(no % 13 == 0, "").otherwise((900 + no % 501).cast("string")).alias("population"), (no % 97).cast("string").alias("older_people_count"),
+        F.when(no % 17 == 0, "n/a").otherwise((n * 10 + no % 7).cast("string")).alias("language_other_than_english_count"), no.alias("seq"),
     )
 
 
-@query("q02_area_global_empty", "SELECT count(*) AS sa2_count, coalesce(sum(c_nationkey), 0)::BIGINT AS population FROM customer WHERE c_mktsegment = 'NOWHERE'")
+@query("q01_area_rollup", f"WITH {_SA2} SELECT sa4_name AS area_name, {_INDICATORS} FROM sa2 GROUP BY sa4_name")
+def area_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Every SA4 as a selected area, in one aggregate."""
+    names = t(spark, d, "region").select(F.col("r_regionkey").alias("request_id"), F.struct(F.lit("SA4").alias("level"), F.col("r_name").alias("area_name"), F.lit("").alias("state")).alias("area_selection"))
+    return areas.selected_profiles(names, sa2(spark, d)).select("area_name", *SHOWN)
+
+
+@query("q02_area_global_empty", "SELECT 'SA3' AS selected_level, 'NOWHERE' AS selected_area, 0::BIGINT AS sa2_count, 0::BIGINT AS population, NULL::DOUBLE AS older_people_pct, NULL::DOUBLE AS language_other_than_english_pct, 'unknown' AS language_support_needed")
 def area_global_empty(spark: SparkSession, d: str) -> DataFrame:
-    none = t(spark, d, "customer").filter("c_mktsegment = 'NOWHERE'")
-    return none.agg(F.count(F.lit(1)).alias("sa2_count"), F.coalesce(F.sum("c_nationkey"), F.lit(0)).cast("long").alias("population"))
+    """A row even where nothing matches; the strict profile adds none."""
+    none = areas.matched_area_profile(sa2(spark, d), "SA3", "NOWHERE")
+    return areas.area_profile(sa2(spark, d), "SA3", "NOWHERE").unionByName(none)
 
 
 @query("q03_band", "SELECT c_custkey, CASE WHEN c_nationkey = 0 THEN 'unknown' WHEN c_acctbal / 100 >= 20 THEN 'high' WHEN c_acctbal / 100 >= 8 THEN 'medium' ELSE 'low' END AS band FROM customer")
@@ -84,12 +95,18 @@ def option_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "q05_left_profile",
-    "SELECT n_nationkey, n_name, count(s_suppkey) AS suppliers, coalesce(sum(CAST(round(s_acctbal * 100) AS BIGINT)), 0)::BIGINT AS cents, coalesce(arg_max(s_name, s_suppkey), '') AS last_name FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY ALL",
+    """WITH p AS (SELECT CAST(s_nationkey AS VARCHAR) AS code, arg_max(s_suppkey * 10 + 7, s_suppkey) AS n, arg_max(s_suppkey * 2 + 1, s_suppkey) AS older, arg_max(s_suppkey, s_suppkey) AS language FROM supplier GROUP BY ALL)
+    SELECT CAST(n_nationkey AS VARCHAR) AS sa2_code_2021, n_name AS sa2_name, n AS population, older AS older_people_count, round(100 * older / n, 1) AS older_people_pct, nullif(language, 0) AS language_other_than_english_count,
+    round(100 * language / n, 1) AS language_other_than_english_pct, CASE WHEN n IS NULL THEN 'unknown' WHEN round(100 * language / n, 1) >= 8 THEN 'medium' ELSE 'low' END AS language_support_needed FROM nation LEFT JOIN p ON code = CAST(n_nationkey AS VARCHAR)""",
 )
 def left_profile(spark: SparkSession, d: str) -> DataFrame:
-    s = t(spark, d, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"), F.sum(cents("s_acctbal")).alias("c"), F.max_by("s_name", "s_suppkey").alias("last"))
-    joined = t(spark, d, "nation").join(s, F.col("n_nationkey") == F.col("s_nationkey"), "left")
-    return joined.select("n_nationkey", "n_name", F.coalesce("n", F.lit(0)).alias("suppliers"), F.coalesce("c", F.lit(0)).alias("cents"), F.coalesce("last", F.lit("")).alias("last_name"))
+    """Units with the last population row of their code; supplier stands for the population service."""
+    text_of = lambda x: x.cast("string")
+    no = F.col("s_suppkey")
+    cohorts = [text_of(no), text_of(no), F.lit("1"), F.lit(""), F.lit(None).cast("string")]
+    right = t(spark, d, "supplier").select(text_of(F.col("s_nationkey")).alias("sa2_code_2021"), text_of(no * 10 + 7).alias("erp_p_202022"), *(c.alias(k) for c, k in zip(cohorts, etl.COHORTS)), text_of(no).alias("census_392021"), no.alias("seq"))
+    left = t(spark, d, "nation").select(text_of(F.col("n_nationkey")).alias("sa2_code_2021"), F.col("n_name").alias("sa2_name"))
+    return etl.unit_profiles(left, right)
 
 
 REGION_KEYS = [("north", [1, 2, 3, 3]), ("south", [3, 7, 99]), ("nowhere", [77])]
@@ -98,22 +115,36 @@ _REGION_SQL = " UNION ALL ".join(f"SELECT {q(k)} AS location, {v} AS keys" for k
 
 @query(
     "q06_region_map",
-    f"WITH m AS ({_REGION_SQL}), x AS (SELECT location, unnest(list_distinct(keys)) AS k FROM m) SELECT location, count(n_name) AS matched, coalesce(string_agg(n_name, '; ' ORDER BY n_name), '') AS names FROM x LEFT JOIN nation ON k = n_nationkey GROUP BY location",
+    f"""WITH m AS ({_REGION_SQL}), x AS (SELECT location, unnest(list_distinct(keys)) AS k FROM m), y AS (SELECT location, 'NATION_' || k AS sa2_name FROM x),
+    u AS (SELECT 'NATION_' || n_nationkey AS sa2_name, n_nationkey * 100 AS population, n_nationkey * 9 AS older FROM nation),
+    z AS (SELECT location, coalesce(sum(population), 0)::BIGINT AS population, sum(older) AS older, count(population) AS matched_sa2_count, coalesce(string_agg(CASE WHEN population IS NOT NULL THEN sa2_name END, '; ' ORDER BY sa2_name), '') AS matched_sa2_names FROM y LEFT JOIN u USING (sa2_name) GROUP BY location)
+    SELECT location, population, CASE WHEN population > 0 THEN round(100 * older / population, 1) END AS older_people_pct, matched_sa2_count, matched_sa2_names FROM z""",
 )
 def region_map(spark: SparkSession, d: str) -> DataFrame:
-    regions = spark.createDataFrame(REGION_KEYS, "location string, keys array<int>")
-    flat = regions.select("location", F.explode(F.array_distinct("keys")).alias("k"))
-    joined = flat.join(t(spark, d, "nation"), F.col("k") == F.col("n_nationkey"), "left")
-    return joined.groupBy("location").agg(F.count("n_name").alias("matched"), F.array_join(F.array_sort(F.collect_list("n_name")), "; ").alias("names"))
+    """Configured regions with their units' indicators, also where no unit matches."""
+    made = [(k, "any", "SA2", None, "name", "n", [f"NATION_{x}" for x in keys], i) for i, (k, keys) in enumerate(REGION_KEYS)]
+    regions = spark.createDataFrame(made, schemas.DDL["regions"] + ", seq long")
+    no = F.col("n_nationkey")
+    units_ = t(spark, d, "nation").select(
+        F.concat(F.lit("NATION_"), no).alias("sa2_name"), (no * 100).cast("string").alias("population"), (no * 9).cast("string").alias("older_people_count"), F.lit("").alias("language_other_than_english_count")
+    )
+    return etl.region_profiles(regions, units_).select("location", "population", "older_people_pct", "matched_sa2_count", "matched_sa2_names")
 
 
 @query(
     "q07_alloc_group",
-    "SELECT l_suppkey AS code, arg_min(l_returnflag, l_orderkey * 100 + l_linenumber) AS first_flag, count(*) AS mesh_block_count, sum(CAST(round(l_quantity * 100) AS BIGINT))::BIGINT AS area FROM lineitem GROUP BY l_suppkey",
+    """SELECT CAST(l_suppkey AS VARCHAR) AS lga_code_2025, arg_min(l_returnflag, o) AS lga_name_2025, arg_min(l_linestatus, o) AS state_code_2021, arg_min(l_returnflag || l_linestatus, o) AS state_name_2021, count(*) AS mesh_block_count,
+    sum(CASE WHEN l_linenumber < 7 THEN CAST(l_quantity AS BIGINT) ELSE 0 END)::DOUBLE AS area_albers_sqkm FROM (SELECT *, l_orderkey * 100 + l_linenumber AS o FROM lineitem) WHERE l_suppkey % 11 <> 0 GROUP BY l_suppkey""",
 )
 def alloc_group(spark: SparkSession, d: str) -> DataFrame:
-    first = F.min_by("l_returnflag", F.col("l_orderkey") * 100 + F.col("l_linenumber"))
-    return t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("code")).agg(first.alias("first_flag"), F.count(F.lit(1)).alias("mesh_block_count"), F.sum(cents("l_quantity")).alias("area"))
+    """Mesh blocks by area code: blank codes go, unreadable areas count zero, first names stay."""
+    code = F.when(F.col("l_suppkey") % 11 == 0, "").otherwise(F.col("l_suppkey").cast("string"))
+    area = F.when(F.col("l_linenumber") < 7, F.col("l_quantity").cast("long").cast("string")).otherwise("n/a")
+    rows = t(spark, d, "lineitem").select(
+        code.alias("lga_code_2025"), F.col("l_returnflag").alias("lga_name_2025"), F.col("l_linestatus").alias("state_code_2021"), F.concat("l_returnflag", "l_linestatus").alias("state_name_2021"),
+        area.alias("area_albers_sqkm"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"),
+    )
+    return etl.lga_summary(rows)
 
 
 KEYWORDS = ["licensed", "the ", "ción", "heit", "trash"]
@@ -127,14 +158,22 @@ def rule_match(spark: SparkSession, d: str) -> DataFrame:
     return theta_join(docs, rules, lambda: has_keyword(F.col("said"), F.col("kw"), "substring")).select("doc_id", "rule_no")
 
 
+SOURCE_TAGS = [("national", ["australia"]), ("qld", ["queensland", "qld"]), ("nsw", ["nsw"]), ("one", ["nation_1", "nation_4"]), ("none", ["nowhere"])]
+_SOURCE_SQL = " UNION ALL ".join(f"SELECT {i} AS seq, {q(k)} AS id, {v} AS scope" for i, (k, v) in enumerate(SOURCE_TAGS))
+
+
 @query(
     "q09_tag_overlap",
-    "SELECT n_nationkey FROM nation WHERE list_has_any([CAST(n_nationkey AS VARCHAR), lower(n_name)], ['1', '7', 'x'])",
+    f"""WITH s AS ({_SOURCE_SQL}) SELECT n_nationkey AS request_id, string_agg(id, ',' ORDER BY seq) AS ids FROM nation JOIN s ON list_has_any(scope,
+    ['australia', CASE n_nationkey % 3 WHEN 0 THEN 'queensland' WHEN 1 THEN 'new_south_wales' END, CASE n_nationkey % 3 WHEN 0 THEN 'qld' WHEN 1 THEN 'nsw' END, lower(n_name)]) GROUP BY n_nationkey""",
 )
 def tag_overlap(spark: SparkSession, d: str) -> DataFrame:
-    tags = spark.createDataFrame([("1",), ("7",), ("x",)], "tag string")
-    own = t(spark, d, "nation").withColumn("tag", F.explode(F.array(F.col("n_nationkey").cast("string"), F.lower("n_name"))))
-    return own.join(tags, "tag", "left_semi").select("n_nationkey").distinct()
+    """Sources with a tag of the resolved place in common; national ones always."""
+    register = spark.createDataFrame([(k, k, "", scope, "", "", i) for i, (k, scope) in enumerate(SOURCE_TAGS)], schemas.DDL["sources"] + ", seq long")
+    state = F.element_at(F.array(F.lit("Queensland"), F.lit("New South Wales"), F.lit(fixed.DEFAULT_STATE)), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    places = t(spark, d, "nation").select(F.col("n_nationkey").alias("request_id"), state.alias("state"), F.col("n_name").alias("locality"))
+    found = matching.selected_sources(places, register)
+    return found.select("request_id", F.array_join(F.transform("sources", lambda x: x["id"]), ",").alias("ids"))
 
 
 NEEDLES = [(0, "indonesia and japan"), (1, "united"), (2, "zzz"), (3, "nation_1"), (4, "asia"), (5, "")]
@@ -269,10 +308,10 @@ def lint_rollup(spark: SparkSession, d: str) -> DataFrame:
     return lint.check_counts(lint.check_rows(reports(spark, d), "conv_id"))
 
 
-@query("q18_latest_version", "SELECT conv_id, arg_max(text, turn) AS text, max(turn) AS turn, count(*) AS versions FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
+@query("q18_latest_version", "SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
 def latest_version(spark: SparkSession, d: str) -> DataFrame:
     said = t(spark, d, "conversations").filter("role = 'assistant'")
-    return said.groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"), F.max("turn").alias("turn"), F.count(F.lit(1)).alias("versions"))
+    return lineage.latest(said, "conv_id", "turn").select("conv_id", "turn", "role", "text")
 
 
 @query(
@@ -304,10 +343,18 @@ def section_cut(spark: SparkSession, d: str) -> DataFrame:
     return reports(spark, d).select("conv_id", text.remove_section(F.col("text"), "## Roles").alias("cut"))
 
 
-@query("q23_vertex_mean", "SELECT label, count(*) AS points, sum(CAST(round(embedding[1]::DOUBLE * 1000000) AS BIGINT))::BIGINT AS lon_micro, sum(CAST(round(embedding[2]::DOUBLE * 1000000) AS BIGINT))::BIGINT AS lat_micro FROM embeddings GROUP BY label")
+@query(
+    "q23_vertex_mean",
+    "WITH p AS (SELECT unnest([vec_id % 90, (vec_id + label) % 90]) AS x, unnest([vec_id % 45, -label]) AS y FROM embeddings) SELECT CAST(round(avg(x) * 1000000) AS BIGINT) AS lon_micro, CAST(round(avg(y) * 1000000) AS BIGINT) AS lat_micro FROM p",
+)
 def vertex_mean(spark: SparkSession, d: str) -> DataFrame:
-    micro = lambda k: F.sum(F.round(F.col("embedding")[k].cast("double") * 1000000).cast("long"))
-    return t(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("points"), micro(0).alias("lon_micro"), micro(1).alias("lat_micro"))
+    """The map centre of features, a polygon or multi-polygon of two points for each vector; short points don't count."""
+    a, b, c = F.col("vec_id") % 90, F.col("vec_id") % 45, F.col("label")
+    ring = F.concat(F.lit("[["), F.concat_ws("],[", F.concat_ws(",", a, b), F.concat_ws(",", (F.col("vec_id") + c) % 90, -c), F.lit("7")), F.lit("]]"))
+    multi = F.col("vec_id") % 2 == 1
+    shape = F.struct(F.when(multi, "MultiPolygon").otherwise("Polygon").alias("type"), F.when(multi, F.concat(F.lit("[["), ring, F.lit("]]"))).otherwise(F.concat(F.lit("["), ring, F.lit("]"))).alias("coordinates"))
+    found = areas.centre(t(spark, d, "embeddings").select(F.array(F.struct(shape.alias("geometry"))).alias("features")))
+    return found.select(*(F.round(F.col(x) * 1000000).cast("long").alias(y) for x, y in (("longitude", "lon_micro"), ("latitude", "lat_micro"))))
 
 
 @query("q24_json_field", "SELECT event_id, json_extract_string(props, '$.page') AS page, props IS NULL AS missing FROM events")
@@ -340,18 +387,22 @@ def validation(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "orders").select("o_orderkey", first_error(*tests).alias("error"))
 
 
-@query("q28_partition_counts", f"SELECT coalesce(nullif(r_name, ''), 'Unknown') AS state, count(*) AS features, min(c_custkey) AS first_key FROM {UNITS} GROUP BY ALL")
+@query("q28_partition_counts", f"SELECT CASE WHEN r_name = 'ASIA' THEN 'Unknown' ELSE r_name END AS state, count(*) AS features, min(c_custkey) AS first_key FROM {UNITS} GROUP BY ALL")
 def partition_counts(spark: SparkSession, d: str) -> DataFrame:
-    return units(spark, d).groupBy(F.coalesce(F.nullif("r_name", F.lit("")), F.lit("Unknown")).alias("state")).agg(F.count(F.lit(1)).alias("features"), F.min("c_custkey").alias("first_key"))
+    """Feature collections by state, in parts of bounded size, read back."""
+    state = F.when(F.col("r_name") == "ASIA", "").otherwise(F.col("r_name"))
+    made = sinks.collections(units(spark, d).select(state.alias("state"), F.struct("c_custkey").alias("feature")), "feature", most=1000)
+    kept = made.select("state", F.explode(F.from_json("geojson", "features array<struct<c_custkey:long>>")["features"]).alias("f"))
+    return kept.groupBy("state").agg(F.count(F.lit(1)).alias("features"), F.min("f.c_custkey").alias("first_key"))
 
 
 @query(
     "q29_hierarchy_rollup",
-    f"SELECT r_name, n_name, grouping_id(r_name, n_name) AS level_id, count(*) AS units, count(*) FILTER (WHERE c_acctbal >= 0) AS positive FROM {UNITS} GROUP BY ROLLUP (r_name, n_name)",
+    f"WITH {_SA2} SELECT state_name, sa4_name, sa3_name, CAST(grouping_id(state_name, sa4_name, sa3_name) AS BIGINT) AS level_id, {_INDICATORS} FROM sa2 GROUP BY ROLLUP (state_name, sa4_name, sa3_name)",
 )
 def hierarchy_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Extension: every level of the hierarchy at once."""
-    return units(spark, d).rollup("r_name", "n_name").agg(F.grouping_id().alias("level_id"), F.count(F.lit(1)).alias("units"), F.count_if(F.col("c_acctbal") >= 0).alias("positive"))
+    return areas.rollup(sa2(spark, d)).select("state_name", "sa4_name", "sa3_name", "level_id", *SHOWN)
 
 
 @query("q30_window_summary", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -360,18 +411,25 @@ def window_summary(spark: SparkSession, d: str) -> DataFrame:
     return alerts.window_summary(t(spark, d, "events")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
-@query("q31_apportion", "SELECT o_custkey, sum(CAST(round(o_totalprice * 100) AS BIGINT))::BIGINT AS cents, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY o_custkey")
-def building_orders(spark: SparkSession, d: str) -> DataFrame:
-    """Correspondence as a join and a sum: orders to customers of one segment."""
-    c = t(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey")
-    return t(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("o_custkey").agg(F.sum(cents("o_totalprice")).alias("cents"), F.count(F.lit(1)).alias("n"))
+@query(
+    "q31_apportion",
+    "SELECT CAST(o_custkey % 5 + k AS VARCHAR) AS LGA_CODE_2025, CAST(sum(CAST(o_orderkey % 1000 AS DOUBLE) * CASE k WHEN 0 THEN 0.75 ELSE 0.25 END) AS DOUBLE) AS amount FROM orders, (SELECT unnest([0, 1]) AS k) WHERE o_custkey % 7 < 5 GROUP BY 1",
+)
+def apportion(spark: SparkSession, d: str) -> DataFrame:
+    """Extension: values of old areas shared out to new ones by ratios that are exact in binary."""
+    code = F.col("o_custkey") % 7 * 10 + F.col("o_custkey") % 5
+    values = t(spark, d, "orders").select(code.cast("string").alias("LGA_CODE_2024"), (F.col("o_orderkey") % 1000).cast("double").alias("amount"))
+    shares = [(str(a * 10 + b), str(b + k), r) for a in range(5) for b in range(5) for k, r in ((0, "0.75"), (1, "0.25"))]
+    table = spark.createDataFrame(shares, "LGA_CODE_2024 string, LGA_CODE_2025 string, RATIO_FROM_TO string")
+    return etl.apportioned(values, table, "amount")
 
 
 @query("q32_evidence_codes", "SELECT conv_id, code, contains(lower(text), lower(code)) AS used FROM (SELECT conv_id, string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id) CROSS JOIN (SELECT unnest(['O1', 'P2', 'R3', 'A4', 'U0']) AS code)")
 def evidence_codes(spark: SparkSession, d: str) -> DataFrame:
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("s")))), lambda x: x["s"]), " ")
-    joined = t(spark, d, "conversations").groupBy("conv_id").agg(F.lower(said).alias("low"))
-    return joined.select("conv_id", "low", F.explode(F.array(*(F.lit(e[0]) for e in fixed.EVIDENCE))).alias("code")).select("conv_id", "code", F.contains("low", F.lower("code")).alias("used"))
+    """Codes hold no blanks, so none straddles two turns: each turn is looked at by itself."""
+    said = t(spark, d, "conversations").select("conv_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    each = said.select("conv_id", F.explode(F.array(*(F.struct(F.lit(e[0]).alias("code"), F.contains("low", F.lit(e[0].lower())).alias("used")) for e in fixed.EVIDENCE))).alias("x"))
+    return each.groupBy("conv_id", "x.code").agg(F.bool_or("x.used").alias("used"))
 
 
 @query("q33_setting_type", "SELECT c_custkey, CASE WHEN contains(lower(c_mktsegment), 'build') THEN 'campus' WHEN contains(lower(c_mktsegment), 'house') THEN 'community' ELSE 'general' END AS setting FROM customer")
@@ -379,3 +437,171 @@ def setting(spark: SparkSession, d: str) -> DataFrame:
     """Ordered CASE, first keyword group wins; segments stand for scenarios."""
     scenario = F.regexp_replace(F.regexp_replace(F.lower("c_mktsegment"), "build", "school"), "house", "community")
     return t(spark, d, "customer").select("c_custkey", matching.setting_type(scenario).alias("setting"))
+
+
+_REQUEST = "SELECT c_custkey AS request_id, CASE c_custkey % 5 WHEN 0 THEN 'near ' || lower(n_name) WHEN 1 THEN r_name WHEN 2 THEN '' WHEN 3 THEN 'zzz' ELSE n_name END AS location FROM " + UNITS
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    """customer as requests with a location: names of areas, parts of them, blank or unknown."""
+    k = F.col("c_custkey") % 5
+    said = F.when(k == 0, F.concat(F.lit("near "), F.lower("n_name"))).when(k == 1, F.col("r_name")).when(k == 2, "").when(k == 3, "zzz").otherwise(F.col("n_name"))
+    return units(spark, d).select(F.col("c_custkey").alias("request_id"), said.alias("location"))
+
+
+@query(
+    "q34_enriched_features",
+    """WITH p AS (SELECT s_nationkey AS k, max(s_suppkey) AS n FROM supplier GROUP BY ALL)
+    SELECT CAST(n_nationkey AS VARCHAR) AS sa2_code_2021, coalesce(CAST(n AS VARCHAR), '') AS population, CASE n % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'unknown' END AS language_support_needed,
+    CASE n % 3 WHEN 0 THEN '190,40,40,95' WHEN 1 THEN '60,140,90,70' ELSE '120,120,120,60' END AS colour FROM nation LEFT JOIN p ON k = n_nationkey""",
+)
+def enriched_features(spark: SparkSession, d: str) -> DataFrame:
+    no = F.col("s_suppkey")
+    profiles = t(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("sa2_code_2021"), no.cast("string").alias("population"), F.when(no % 3 == 0, "high").when(no % 3 == 1, "low").alias("language_support_needed"), no.alias("seq"))
+    found = etl.enriched_features(t(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("sa2_code_2021")), profiles)
+    return found.select("sa2_code_2021", "population", "language_support_needed", F.array_join(F.transform("fill_color", lambda x: x.cast("string")), ",").alias("colour"))
+
+
+@query(
+    "q35_mapped_features",
+    "SELECT n_nationkey, CASE n_nationkey % 4 WHEN 3 THEN 'Unmapped' WHEN 2 THEN 'third' WHEN 1 THEN 'second' ELSE 'third' END AS mapped_location FROM nation",
+)
+def mapped_features(spark: SparkSession, d: str) -> DataFrame:
+    """Units in configured regions; of several regions the last counts."""
+    names = t(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("sa2_name"))
+    in_region = lambda name, no, keep: names.filter(keep).groupBy().agg(F.collect_list("sa2_name").alias("sa2_names")).select(F.lit(name).alias("location"), F.lit(no).cast("long").alias("seq"), "sa2_names")
+    regions = in_region("first", 0, F.col("n_nationkey") % 4 == 0).unionByName(in_region("second", 1, F.col("n_nationkey") % 4 == 1)).unionByName(in_region("third", 2, F.col("n_nationkey") % 2 == 0).withColumn("sa2_names", F.col("sa2_names")))
+    return etl.mapped_features(names, regions).select("n_nationkey", "mapped_location")
+
+
+@query(
+    "q36_first_area",
+    f"""WITH r AS ({_REQUEST}), a AS (SELECT 1 AS rank, r_name AS name, r_regionkey AS o FROM region UNION ALL SELECT 2, n_name, n_nationkey FROM nation),
+    m AS (SELECT request_id, arg_min(name, rank * 1000 + o) AS area_name, min(rank) AS rank FROM r JOIN a ON location <> '' AND (contains(lower(location), lower(name)) OR contains(lower(name), lower(location))) GROUP BY request_id)
+    SELECT request_id, CASE rank WHEN 1 THEN 'SA4' ELSE 'SA3' END AS level, area_name FROM m""",
+)
+def first_area(spark: SparkSession, d: str) -> DataFrame:
+    table = t(spark, d, "nation").join(F.broadcast(t(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    named = table.select(F.col("r_name").alias("sa4_name"), F.col("n_name").alias("sa3_name"), F.lit("").alias("sa2_name"), F.lit("any").alias("state_name"), F.col("n_nationkey").cast("long").alias("seq"))
+    return areas.first_area(asked(spark, d), named).select("request_id", "level", "area_name")
+
+
+@query(
+    "q37_first_location",
+    f"WITH r AS ({_REQUEST}) SELECT request_id, arg_min(n_name, n_nationkey) AS matched FROM r JOIN nation ON location <> '' AND (contains(lower(location), lower(n_name)) OR contains(lower(n_name), lower(location))) GROUP BY request_id",
+)
+def first_location(spark: SparkSession, d: str) -> DataFrame:
+    profiles = t(spark, d, "nation").select(F.col("n_name").alias("location"), F.col("n_nationkey").cast("long").alias("seq"))
+    return areas.first_location(asked(spark, d), profiles)
+
+
+@query(
+    "q38_allocation_summary",
+    f"""SELECT n_name AS selected_area, count(*) AS sa2_count, string_agg(DISTINCT r_name, ', ') AS sa4_names, sum(c_custkey)::DOUBLE AS area_albers_sqkm FROM {UNITS} GROUP BY n_name""",
+)
+def allocation_summary(spark: SparkSession, d: str) -> DataFrame:
+    table = units(spark, d).select(
+        F.lit("any").alias("state_name_2021"), F.col("c_name").alias("sa2_name_2021"), F.col("n_name").alias("sa3_name_2021"), F.col("r_name").alias("sa4_name_2021"), F.lit("g").alias("gccsa_name_2021"),
+        F.col("c_custkey").cast("string").alias("area_albers_sqkm"), F.col("c_custkey").alias("seq"),
+    )
+    names = t(spark, d, "nation").select(F.col("n_nationkey").alias("request_id"), F.struct(F.lit("SA3").alias("level"), F.col("n_name").alias("area_name"), F.lit(None).cast("string").alias("state")).alias("area_selection"))
+    return areas.allocation_summary(names, table).select("selected_area", "sa2_count", "sa4_names", "area_albers_sqkm")
+
+
+RULES = [("asia", ["asia"], []), ("nation", ["nation_1", "nation_2"], ["machinery"]), ("build", [], ["build", "house"]), ("never", ["qqq"], [])]
+_RULE_SQL = " UNION ALL ".join(f"SELECT {i} AS seq, {q(k)} AS id, CAST({a} AS VARCHAR[]) AS places, CAST({b} AS VARCHAR[]) AS plans" for i, (k, a, b) in enumerate(RULES))
+
+
+@query(
+    "q39_matched_rules",
+    f"""WITH rules AS ({_RULE_SQL}), r AS (SELECT request_id, lower(location) AS place, lower(c_mktsegment) AS plan FROM ({_REQUEST}) JOIN customer ON request_id = c_custkey),
+    m AS (SELECT request_id, string_agg(id, ',' ORDER BY seq) AS ids FROM r JOIN rules ON len(list_filter(places, lambda x: contains(place, x))) > 0 OR len(list_filter(plans, lambda x: contains(plan, x))) > 0 GROUP BY request_id)
+    SELECT request_id, coalesce(ids, '') AS ids FROM r LEFT JOIN m USING (request_id)""",
+)
+def matched_rules(spark: SparkSession, d: str) -> DataFrame:
+    rules = spark.createDataFrame([(k, (a, b), [f"{k} point"], [], i) for i, (k, a, b) in enumerate(RULES)], schemas.DDL["rules"] + ", seq long")
+    requests = asked(spark, d).join(t(spark, d, "customer").select(F.col("c_custkey").alias("request_id"), F.col("c_mktsegment").alias("scenario")), "request_id")
+    return matching.risk_context(requests, rules).select("request_id", F.array_join("matched_rule_ids", ",").alias("ids"))
+
+
+@query(
+    "q40_community_match",
+    f"""WITH r AS (SELECT request_id, lower(location) AS said, CASE WHEN c_mktsegment = 'BUILDING' THEN r_name END AS region FROM ({_REQUEST}) x JOIN ({UNITS}) ON request_id = c_custkey),
+    c AS (SELECT n_nationkey AS seq, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 = 0), s AS (SELECT r_name, min(seq) AS seq, arg_min(n_name, seq) AS n_name FROM c GROUP BY ALL),
+    m AS (SELECT request_id, 1 AS tier, seq, n_name FROM r JOIN c ON said <> '' AND (contains(said, lower(n_name)) OR contains(lower(n_name), said)) UNION ALL SELECT request_id, 2, seq, n_name FROM r JOIN s ON region = r_name)
+    SELECT request_id, arg_min(n_name, tier * 1000 + seq) AS location FROM m GROUP BY request_id""".replace(f"({UNITS})", f"(SELECT c_custkey, c_mktsegment, r_name FROM {UNITS})"),
+)
+def community_match(spark: SparkSession, d: str) -> DataFrame:
+    """By name first, then the state's first row where the scenario is remote."""
+    more = units(spark, d).select(F.col("c_custkey").alias("request_id"), F.col("r_name").alias("state"), F.when(F.col("c_mktsegment") == "BUILDING", "remote town").otherwise("").alias("scenario"))
+    rows = t(spark, d, "nation").join(F.broadcast(t(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).filter("n_nationkey % 3 = 0")
+    rows = rows.select(F.col("n_nationkey").cast("long").alias("seq"), F.col("n_name").alias("location"), F.col("r_name").alias("state"))
+    return matching.community_matches(asked(spark, d).join(more, "request_id"), rows).select("request_id", "location")
+
+
+@query(
+    "q41_lga_candidates",
+    f"""WITH r AS (SELECT c_custkey AS request_id, r_name, lower(n_name) AS term FROM {UNITS}), h AS (SELECT request_id, n_nationkey, row_number() OVER (PARTITION BY request_id ORDER BY n_nationkey) AS k
+    FROM r JOIN nation ON contains(lower(n_name), term) OR contains(term, lower(n_name)) JOIN region ON n_regionkey = r_regionkey AND region.r_name = r.r_name)
+    SELECT request_id, string_agg(CAST(n_nationkey AS VARCHAR), ',' ORDER BY n_nationkey) AS codes FROM h WHERE k <= 5 GROUP BY request_id""",
+)
+def lga_candidates(spark: SparkSession, d: str) -> DataFrame:
+    profiles = units(spark, d).select(F.col("c_custkey").alias("request_id"), F.col("r_name").alias("state"), F.concat(F.lit("of, "), "n_name").alias("location"))
+    table = t(spark, d, "nation").join(F.broadcast(t(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("n_nationkey").cast("long").alias("seq"), F.col("n_nationkey").cast("string").alias("lga_code_2025"), F.col("n_name").alias("lga_name_2025"), F.col("r_name").alias("state_name_2021"), F.lit("1").alias("mesh_block_count"), F.lit("1").alias("area_albers_sqkm")
+    )
+    found = matching.lga_candidates(profiles, table)
+    return found.select("request_id", F.array_join(F.transform("lga_candidates", lambda x: x["lga_code_2025"]), ",").alias("codes"))
+
+
+@query(
+    "q42_row_counts",
+    "SELECT 'customer' AS name, count(*) AS rows FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem",
+)
+def row_counts(spark: SparkSession, d: str) -> DataFrame:
+    return etl.row_counts({k: t(spark, d, k) for k in ("customer", "orders", "lineitem")})
+
+
+@query(
+    "q43_governed",
+    f"WITH {_REPORTS} SELECT conv_id, {q(fixed.NOTICE)} || chr(10) || chr(10) || trim(text, ' ' || chr(10)) AS governed FROM reports",
+)
+def governed(spark: SparkSession, d: str) -> DataFrame:
+    """The canonical notice before each report; a second call changes nothing."""
+    return reports(spark, d).select("conv_id", text.governed(text.governed(F.col("text"))).alias("governed"))
+
+
+@query(
+    "q44_signoff",
+    f"WITH {_REPORTS} SELECT conv_id, (length(text) - length(replace(text, '## ', ''))) // 3 + CASE WHEN contains(text, {q(fixed.SIGNOFF_HEADING)}) THEN 0 ELSE 1 END AS headings FROM reports",
+)
+def signoff(spark: SparkSession, d: str) -> DataFrame:
+    """A sign-off section once, in place of an earlier one, however often it is put in."""
+    record = {"approval_status": F.lit("Draft")}
+    twice = text.with_signoff(text.with_signoff(F.col("text"), record), record)
+    return reports(spark, d).select("conv_id", ((F.length(twice) - F.length(F.replace(twice, F.lit("## ")))) / 3).cast("long").alias("headings"))
+
+
+@query(
+    "q45_widest_table",
+    f"""WITH {_REPORTS}, l AS (SELECT conv_id, trim(unnest(string_split(text, chr(10)))) AS line FROM reports) SELECT conv_id, max(length(line) - length(replace(line, '|', '')) - 1)::BIGINT AS cells FROM l WHERE line LIKE '|%|' GROUP BY conv_id""",
+)
+def widest_table(spark: SparkSession, d: str) -> DataFrame:
+    found = text.blocks(reports(spark, d), "conv_id").filter("kind = 'table'")
+    return found.select("conv_id", text.table_width(F.col("lines")).alias("cells")).groupBy("conv_id").agg(F.max("cells").cast("long").alias("cells"))
+
+
+@query("q46_report_meta", f"WITH {_REPORTS} SELECT conv_id, CASE WHEN starts_with(text, '# Plan') THEN 'Plan' ELSE regexp_extract(text, '^#+ ([^' || chr(10) || ']+)', 1) END AS title, 'To be confirmed' AS location FROM reports".replace("'To be confirmed'", q(fixed.UNKNOWN)))
+def report_meta(spark: SparkSession, d: str) -> DataFrame:
+    return text.report_meta(reports(spark, d), "conv_id").select("conv_id", "title", "location")
+
+
+@query(
+    "q47_elapsed",
+    "SELECT user_id, max((epoch_us(ts) - epoch_us(before)) // 1000)::BIGINT AS longest FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) GROUP BY user_id",
+)
+def elapsed(spark: SparkSession, d: str) -> DataFrame:
+    """The longest time between two events of a user, in milliseconds."""
+    events = t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return events.select("user_id", elapsed_ms(before, F.col("ts")).alias("ms")).groupBy("user_id").agg(F.max("ms").alias("longest"))

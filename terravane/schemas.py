@@ -9,6 +9,7 @@ def strings(*names: str) -> StructType:
     return StructType([StructField(n, StringType()) for n in names])
 
 
+# The columns of the tables and registers that are read.
 SA2_PROFILES = strings(
     "state_name", "state_code", "sa4_name", "sa4_code", "sa3_name", "sa3_code", "sa2_name", "sa2_code", "population", "older_people_count",
     "older_people_pct", "language_other_than_english_count", "language_other_than_english_pct", "language_support_needed", "source", "source_years",

@@ -1,8 +1,8 @@
-"""A paged feature service as a Spark data source: one partition per page.
+"""A paged feature service as a Spark data source.
 
-The service is anything that answers (url, offset, limit) with a page; files named page-<offset>.json, in a
-folder that all machines see, replay saved pages. For pages in any store that Spark reads there is
-tables.saved_pages().
+A service answers for pages of (url, where, fields, offset, limit); the reader names its class by option. Where it
+knows its offsets beforehand there is one partition per page; else one partition asks page after page until a short
+one. Filters on columns go to the service as its predicate, and only the wanted columns are asked for.
 """
 
 from __future__ import annotations
@@ -10,14 +10,18 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator, Sequence
+from importlib import import_module
+from typing import Any
+from urllib.parse import urlencode
+from urllib.request import urlopen
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 from pyspark.sql.types import StructType
 
-#: Rows of a page unless the reader says otherwise.
-PAGE = 2000
+#: Rows of a page unless the reader says otherwise, and seconds that a request may take.
+PAGE, TIMEOUT = 2000, 60
 
 
 def where_clause(filters: Sequence[tuple[str, Sequence[str]]]) -> str:
@@ -27,15 +31,69 @@ def where_clause(filters: Sequence[tuple[str, Sequence[str]]]) -> str:
     return " AND ".join(f"{c} IN ({','.join(chr(39) + v.replace(chr(39), chr(39) * 2) + chr(39) for v in values)})" for c, values in filters)
 
 
-class Page(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
+class Service:
+    """What a service can be asked; made anew in each task."""
+
+    def offsets(self, url: str, where: str, limit: int) -> list[int] | None:
+        """Where its pages begin, or None if that isn't known."""
+        return None
+
+    def page(self, url: str, where: str, fields: Sequence[str], offset: int, limit: int) -> dict[str, Any]:
+        raise NotImplementedError
+
+
+class Rest(Service):
+    """A feature service over HTTP, with counts if it gives them."""
+
+    def ask(self, url: str, **parameters: str) -> dict[str, Any]:
+        with urlopen(f"{url}?{urlencode({'f': 'json', **parameters})}", timeout=TIMEOUT) as answer:
+            return json.loads(answer.read().decode("utf-8"))
+
+    def offsets(self, url: str, where: str, limit: int) -> list[int] | None:
+        count = self.ask(url, where=where, returnCountOnly="true").get("count")
+        return None if count is None else list(range(0, count, limit))
+
+    def page(self, url: str, where: str, fields: Sequence[str], offset: int, limit: int) -> dict[str, Any]:
+        wanted = {"outFields": ",".join(fields), "returnGeometry": "false", "resultOffset": str(offset), "resultRecordCount": str(limit)}
+        return self.ask(url, where=where, **wanted)
+
+
+class Saved(Service):
+    """Pages in files named page-<offset>.json, in a folder that all machines see; the predicate was that of whoever saved them.
+
+    For pages in any store that Spark reads there is tables.saved_pages().
+    """
+
+    def offsets(self, url: str, where: str, limit: int) -> list[int]:
+        found, offset = [], 0
+        while os.path.exists(f"{url}/page-{offset}.json"):
+            found.append(offset)
+            offset += limit
+        return found
+
+    def page(self, url: str, where: str, fields: Sequence[str], offset: int, limit: int) -> dict[str, Any]:
+        with open(f"{url}/page-{offset}.json", encoding="utf-8") as f:
+            return json.load(f)
+
+
+def service(name: str) -> Service:
+    """A service by "module:class"."""
+    module, _, kind = name.partition(":")
+    return getattr(import_module(module), kind)()
+
+
+class Pages(InputPartition):
+    """One page, or with last unknown all from an offset on."""
+
+    def __init__(self, offset: int, alone: bool) -> None:
+        self.offset, self.alone = offset, alone
 
 
 class PagedReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict[str, str]) -> None:
         self.names = schema.names
-        self.path, self.limit = options["path"], int(options.get("limit", PAGE))
+        self.url, self.limit = options.get("url") or options["path"], int(options.get("limit", PAGE))
+        self.service = options.get("service", f"{__name__}:Saved")
         self.kept: list[tuple[str, list[str]]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -51,23 +109,25 @@ class PagedReader(DataSourceReader):
         return where_clause(self.kept)
 
     def partitions(self) -> Sequence[InputPartition]:
-        pages, offset = [], 0
-        while os.path.exists(path := f"{self.path}/page-{offset}.json"):
-            pages.append(Page(path))
+        offsets = service(self.service).offsets(self.url, self.where(), self.limit)
+        return [Pages(0, False)] if offsets is None else [Pages(k, True) for k in offsets]
+
+    def read(self, partition: Pages) -> Iterator[pa.RecordBatch]:
+        ask, offset = service(self.service), partition.offset
+        while True:
+            got = ask.page(self.url, self.where(), self.names, offset, self.limit).get("features", [])
+            rows = [x.get("attributes") or x.get("properties") or {} for x in got]
+            for c, values in self.kept:  # for services that can't
+                rows = [r for r in rows if str(r.get(c)) in values]
+            columns = [pa.array([None if r.get(n) is None else str(r[n]) for r in rows], pa.string()) for n in self.names]
+            yield pa.RecordBatch.from_arrays(columns, self.names)
+            if partition.alone or len(got) < self.limit:
+                return
             offset += self.limit
-        return pages
-
-    def read(self, partition: Page) -> Iterator[pa.RecordBatch]:
-        with open(partition.path, encoding="utf-8") as f:
-            rows = [x.get("attributes", {}) for x in json.load(f).get("features", [])]
-        for c, values in self.kept:
-            rows = [r for r in rows if str(r.get(c)) in values]
-        columns = [pa.array([None if r.get(n) is None else str(r[n]) for r in rows], pa.string()) for n in self.names]
-        yield pa.RecordBatch.from_arrays(columns, self.names)
 
 
 class PagedFeatures(DataSource):
-    """spark.read.format("paged_features").schema(columns of strings).option("path", folder).option("limit", n)."""
+    """spark.read.format("paged_features").schema(columns of strings).option("url", ...).option("service", "module:class").option("limit", n)."""
 
     @classmethod
     def name(cls) -> str:

@@ -19,18 +19,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: StructType, line_breaks: bool = True) -> DataFrame:
     """A CSV table of strings with the columns of schema and seq, the order in the file.
 
-    Columns are found by header; absent ones are null, blanks are null, a byte order mark is skipped. Quoted
-    fields may hold line breaks. A missing path gives an empty table.
+    Columns are found by header; absent ones are null, blanks are null, a byte order mark is skipped. With
+    line_breaks quoted fields may hold them, and each file is read by one task; large files without any, such as
+    allocations, are split. A missing path gives an empty table.
     """
     if not exists(spark, path):
         return spark.createDataFrame([], schema).withColumn("seq", F.lit(0).cast("long"))
-    raw = spark.read.options(header=True, multiLine=True, escape='"', encoding="UTF-8", inferSchema=False).csv(path)
+    raw = spark.read.options(header=True, multiLine=line_breaks, escape='"', encoding="UTF-8", inferSchema=False).csv(path)
     have = {c.lstrip("﻿").strip().lower(): c for c in raw.columns}
     columns = [F.nullif(F.col(f"`{have[f.name.lower()]}`"), F.lit("")).alias(f.name) if f.name.lower() in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
-    # Registers are single files, each read by one task, so the ids follow the order of the lines.
+    # Ids follow the order of the lines within a file; they are neither dense nor small.
     return raw.select(*columns, F.monotonically_increasing_id().alias("seq"))
 
 
@@ -75,7 +76,8 @@ def read_json(spark: SparkSession, path: str, ddl: str) -> DataFrame:
         return spark.createDataFrame([], schema)
     with_bad = StructType([*schema.fields, *StructType().add("_bad", "string").fields])
     raw = spark.read.schema(with_bad).options(multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad").json(path)
-    return raw.cache().filter("_bad is null").drop("_bad")
+    # The second test is always true; it names a column, as Spark refuses to read that of bad records alone.
+    return raw.filter(F.col("_bad").isNull() & (F.pmod(F.xxhash64(schema[0].name), F.lit(2)) < 2)).drop("_bad")
 
 
 def read_boundaries(spark: SparkSession, root: str, state_slug: str | None = None, whole: str | None = None) -> DataFrame:

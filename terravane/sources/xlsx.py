@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import chain
 from xml.etree import ElementTree as ET
 
 import pyarrow as pa
@@ -64,7 +65,7 @@ def read_xlsx(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
                 place = {header_name(h): k for k, h in enumerate(next(rows, []))}
                 held: list[list[str]] = []
                 done = 0
-                for r in (*rows, None):
+                for r in chain(rows, [None]):
                     if r is not None:
                         held.append([r[place[n]] if n in place and place[n] < len(r) else "" for n in names])
                     if held and (r is None or len(held) == 5000):

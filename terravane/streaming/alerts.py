@@ -30,7 +30,11 @@ def keyword_alerts(events: DataFrame, keywords: Sequence[str], column: str = "ev
 
 
 def rule_alerts(events: DataFrame, rules: DataFrame, column: str = "event_type") -> DataFrame:
-    """(event_id, rule_id) by keyword lists of rules (id, keywords); the rules are bounded, as every batch joins them."""
+    """(event_id, rule_id) by keyword lists of rules (id, keywords).
+
+    Every micro-batch joins all rules, so they must be few enough to broadcast; more than MOST are refused, not cut.
+    Tables of more rules are matched in batches, by matching.matched_rules().
+    """
     if rules.limit(MOST + 1).count() > MOST:
         raise ValueError(f"more than {MOST} rules; match them in batches")
     hit = F.exists("keywords", lambda k: F.contains(F.lower(F.col(column)), F.lower(k)))

@@ -189,7 +189,18 @@ def test_validation(spark):
     assert [x[0] is not None for x in s.select(validation.geography_error(F.col("a"), F.col("b"))).collect()] == [True, False, False, False]
 
 
-def test_theta_join_in_blocks(spark):
-    left, right = spark.range(50).select(F.col("id").alias("a")), spark.range(30).select(F.col("id").alias("seq"))
-    whole = {tuple(r) for r in theta_join(left, right, lambda: F.col("a") % 7 == F.col("seq")).collect()}
-    assert whole == {tuple(r) for r in theta_join(left, right, lambda: F.col("a") % 7 == F.col("seq"), most=4).collect()} and len(whole) == 50
+@pytest.mark.parametrize("most", [3, 7, 1000])
+def test_theta_join_is_alike_at_every_size(spark, most):
+    """Null, negative, sparse and repeated keys take part, whether the dimension is taken whole or in blocks."""
+    keys = [None, None, -5, 0, 1, 1, 3, 2**40, 2**33 + 1, *range(10, 30)]
+    left, right = spark.range(50).select(F.col("id").alias("a")), spark.createDataFrame([(k, f"x{n % 7}") for n, k in enumerate(keys)], "seq long, word string")
+    got = sorted((r.a, str(r.seq), r.word) for r in theta_join(left, right, lambda: F.concat(F.lit("x"), F.col("a") % 7) == F.col("word"), most=most).collect())
+    assert got == sorted((a, str(k), f"x{n % 7}") for a in range(50) for n, k in enumerate(keys) if a % 7 == n % 7)
+
+
+def test_prompts_with_a_template(spark, t):
+    registers = analysis.Registers(t["rules"], t["sources"], t["regions"], t["community"], t["units"], t["allocation"], t["lga"])
+    analysed = analysis.analyse(requests(spark).filter("request_id = 1"), registers)
+    said = analysis.prompts(analysed, [("1. One", "Say one."), ("2. Two", "Say two.")], ["Be formal."], "Write a report.", "Reviewed by N.").first().prompt
+    assert said.startswith("Write a report.\n\nReviewed by N.\n\nLocation:\nCairns") and said.endswith("Rules:\n- Be formal.")
+    assert said.index("Evidence confidence and provenance:\n- O1 | ") < said.index("1. One\nRequirement: Say one.\n2. Two") < said.index(fixed.NOTICE)

@@ -187,3 +187,66 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() == 5 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_paged_service_over_http(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    asked = []
+    codes = [f"c{k}" for k in range(7)]
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            at = urlparse(self.path)
+            p = {k: v[0] for k, v in parse_qs(at.query).items()}
+            asked.append((at.path, p))
+            own = [c for c in codes if p["where"] == "1=1" or f"'{c}'" in p["where"]]
+            if "returnCountOnly" in p:
+                said = {"count": len(own)} if at.path == "/counted" else {}
+            else:
+                k, n = int(p["resultOffset"]), int(p["resultRecordCount"])
+                said = {"features": [{"attributes": {"code": c, "n": 1}} for c in own[k : k + n]]}
+            body = json.dumps(said).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        paged.register(spark)
+        for name, partitions in (("counted", 3), ("uncounted", 1)):
+            url = f"http://127.0.0.1:{server.server_port}/{name}"
+            df = spark.read.format("paged_features").schema("code string, n string").options(url=url, service="terravane.sources.paged:Rest", limit=3).load()
+            assert sorted(r.code for r in df.collect()) == codes and df.rdd.getNumPartitions() == partitions
+            asked.clear()
+            assert [r.code for r in df.filter(F.col("code").isin("c2", "c9")).select("code", "n").collect()] == ["c2"]
+            assert all(p["where"] == "code IN ('c2','c9')" for _, p in asked) and any(p.get("outFields") == "code,n" for _, p in asked)
+    finally:
+        server.shutdown()
+
+
+def test_meta_blocks_and_widths_of_odd_texts(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "|a|\n|b|c|\n\n|d|\nx\r\ny"), (None, "# T")], "id long, text string")
+    got = {(r.id, r.block_no): (r.kind, r.first_line, r.lines) for r in text.blocks(df, "id").collect()}
+    assert got == {(3, 1): ("table", 0, ["|a|", "|b|c|"]), (3, 3): ("table", 3, ["|d|"]), (3, 4): ("paragraph", 4, ["x"]), (3, 5): ("paragraph", 5, ["y"]), (None, 1): ("h1", 0, ["# T"])}
+    assert "Exchange" not in text.blocks(df, "id")._jdf.queryExecution().toString()
+    assert {r.id: r.title for r in text.report_meta(df, "id").collect()} == {1: fixed.DEFAULT_TITLE, 2: fixed.DEFAULT_TITLE, 3: "|a|", None: "T"}
+    widths = spark.createDataFrame([(["|a|", "|b|c|"],), ([],), (None,)], "x array<string>").select(text.table_width(F.col("x")))
+    assert [r[0] for r in widths.collect()] == [2, 0, 0]
+
+
+def test_elapsed_and_parts(spark):
+    from terravane.functions.expr import elapsed_ms
+
+    t = spark.sql("SELECT timestamp'2024-01-01 00:00:00.250' AS a, timestamp'2024-01-01 00:00:01.5' AS b, CAST(NULL AS timestamp) AS c")
+    assert tuple(t.select(elapsed_ms(F.col("a"), F.col("b")), elapsed_ms(F.col("a"), F.col("c"))).first()) == (1250, None)
+    f = spark.createDataFrame([(f"f{k}", "Q" if k % 10 else None) for k in range(200)], "feature string, state string")
+    got = sinks.collections(f, "feature", most=20).collect()
+    assert sum(len(json.loads(r.geojson)["features"]) for r in got) == 200 and len({(r.state, r.part) for r in got}) == len(got) > 5
+    assert {r.state for r in got} == {"Q", "Unknown"} and max(len(json.loads(r.geojson)["features"]) for r in got) < 60
