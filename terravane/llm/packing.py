@@ -56,7 +56,7 @@ class Encoder:
         parts = [new[k : k + CHUNKS] for k in range(0, len(new), CHUNKS)]
         for part, e in zip(parts, self.library.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
-            words = np.cumsum([1 if c.isascii() and c.isalpha() else len(self.bpe.words(c)) for c in part])
+            words = np.cumsum([1 if c.isalpha() and self.bpe.agreed(c) else len(self.bpe.words(c)) for c in part])
             ends = np.flatnonzero(self.ends[ids])
             if len(ends) == words[-1]:
                 at = [0, *(4 * (ends[words - 1] + 1)).tolist()]

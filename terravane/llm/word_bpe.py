@@ -3,7 +3,8 @@
 A chunk is a text's part between white space; its tokens depend on nothing else, so each is encoded once
 and remembered, up to a bound of remembered chunks. What Unicode says of a character (its class, its lower case,
 how it composes) differs between the versions of Python and of the tokenizers library, so chunks that
-are not ASCII get their normal form and their pre-tokens from the library's own normaliser and splitter.
+are not ASCII get their normal form and their pre-tokens from the library's own normaliser and splitter. For
+letters on which both are found to agree (of the Latin, Greek and Cyrillic blocks) Python's functions do.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import unicodedata
 from collections.abc import Callable
 
 import regex
@@ -60,6 +62,12 @@ class WordBpe:
         self.letters = byte_letters()
         self.library = Tokenizer.from_file(path)
         self.normal = Remembered(self.library.normalizer.normalize_str)
+        self.agreed = re.compile(f"[\\x00-\\x7f{''.join(filter(self.agrees, map(chr, range(0xC0, 0x530))))}]*").fullmatch
+
+    def agrees(self, c: str) -> bool:
+        """Whether Python has a letter as the library has it: its lower case, its normal form, whatever stands around it, and its class."""
+        same = self.library.normalizer.normalize_str(c) == c.lower() and unicodedata.is_normalized("NFC", c) and not unicodedata.combining(c)
+        return same and c != "Σ" and len(self.library.pre_tokenizer.pre_tokenize_str(f"a{c}a")) == 1 == len(self.find(f"a{c}a"))
 
     def chunks(self, text: str) -> list[str]:
         """The normalised chunks of a text without special strings."""
@@ -69,11 +77,11 @@ class WordBpe:
             return text.lower().split()
         else:
             parts = text.split()
-        return [x.lower() if x.isascii() else self.normal[x] for x in parts]
+        return [x.lower() if x.isascii() or self.agreed(x) else self.normal[x] for x in parts]
 
     def words(self, chunk: str) -> list[str]:
         """The pre-tokens of a normalised chunk."""
-        if chunk.isascii():
+        if chunk.isascii() or self.agreed(chunk):
             return self.find(chunk)
         return [chunk[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
 

@@ -197,8 +197,9 @@ def test_plan_places_every_piece():
 
 def every_character():
     """Texts with every code point in three contexts, some hundred to a text; what the libraries think of each shows."""
-    points = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x110000))]
-    used = [c for c in points if ord(c) < 0x32000 or 0xE0000 <= ord(c) < 0xE0200 or ord(c) % 997 == 0]  # beyond them nothing is assigned
+    alike = (range(0x3400, 0xA000), range(0xAC00, 0xD7A4), range(0xE000, 0xF900), range(0x17000, 0x18D00), range(0x20000, 0xE0000), range(0xE0200, 0x110000))
+    points = (*range(0xD800), *range(0xE000, 0x110000))
+    used = [chr(c) for c in points if c % 97 == 0 or not any(c in r for r in alike)]  # of ideographs, Hangul, private and unassigned planes some
     for k in range(0, len(used), 200):
         part = used[k : k + 200]
         yield " ".join(f"ab{c}cd 1{c}2 {c}'s" for c in part)
