@@ -21,6 +21,10 @@ URL_RULES = (
 )
 
 
+#: The document that a page shows, by its url.
+DOCUMENT = "^[^:]*://[^/]*/[a-z]+/([0-9]+)"
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -64,11 +68,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes: the labels table, its ids taken as page ids; toxic or of low quality is bad."""
-    labels = table(spark, sf_dir, "labels")
+    """Outcomes: the labels of the document whose number a page's path begins with (/en/685); toxic or of low quality is bad."""
+    pages = table(spark, sf_dir, "pages")
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
-    outcomes = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
-    judged = url_filters.judge(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+    labels = table(spark, sf_dir, "labels").filter("doc_id is not null").groupBy("doc_id").agg(F.max(bad).alias("bad"))
+    shown = pages.select("page_id", F.regexp_extract("url", DOCUMENT, 1).try_cast("long").alias("doc_id"))
+    judged = url_filters.judge(pages, shown.join(labels, "doc_id").select("page_id", "bad"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -107,9 +112,11 @@ ORACLE: dict[str, str] = {
     "op10_url_filters": f"""WITH rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
     parts AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
     ruled AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM ({_FITS}) GROUP BY page_id),
-    outcome AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
-    hosts AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, split_part(host, '.', -1) AS last, array_to_string(string_split(host, '.')[-2:], '.') AS two FROM parts LEFT JOIN outcome USING (page_id) GROUP BY host),
-    named AS (SELECT host, n, bad, CASE WHEN two IN ({_LONG}) THEN two ELSE last END AS suffix, CASE WHEN two IN ({_LONG}) THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE two END AS domain FROM hosts),
+    label AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+    outcome AS (SELECT page_id, max(bad) AS bad FROM pages JOIN label ON doc_id = TRY_CAST(regexp_extract(url, '{DOCUMENT}', 1) AS BIGINT) WHERE page_id IS NOT NULL GROUP BY page_id),
+    hosts AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM parts LEFT JOIN outcome USING (page_id) GROUP BY host),
+    split AS (SELECT *, split_part(name, '.', -1) AS last, array_to_string(string_split(name, '.')[-2:], '.') AS two, array_to_string(string_split(name, '.')[-3:], '.') AS three, regexp_matches(name, '^([0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}|\\[.*\\])$') AS ip FROM hosts),
+    named AS (SELECT host, n, bad, CASE WHEN ip THEN name WHEN two IN ({_LONG}) THEN two ELSE last END AS suffix, CASE WHEN ip THEN name WHEN two IN ({_LONG}) THEN three ELSE two END AS domain FROM split),
     suffix_in AS (SELECT *, (SELECT coalesce(sum(bad), 0) / greatest(coalesce(sum(n), 0), 1) FROM named) AS above FROM named), {_level("suffix", "above")},
     domain_in AS (SELECT named.*, rate AS above FROM named JOIN suffix_r ON suffix = name), {_level("domain", "above")},
     host_in AS (SELECT named.*, rate AS above FROM named JOIN domain_r ON domain = name), {_level("host", "above")}

@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut
@@ -28,10 +28,10 @@ class Rule(NamedTuple):
     path: str
 
 
-#: Suffixes of more than one label under which names are registered; a parameter, not a full list.
+#: Suffixes of more than one label under which names are registered, for use without a list of one's own (see read_suffixes).
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "org.au", "net.au", "gov.au", "edu.au", "co.nz", "co.jp")
-#: Rules become one CASE expression each, so their number is bounded.
-MOST_RULES = 256
+#: Rules become one CASE expression each and suffixes one set each for their numbers of labels, so both are bounded.
+MOST_RULES, MOST_SUFFIXES = 256, 50_000
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -53,10 +53,26 @@ def ruled(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return found
 
 
+def read_suffixes(spark: SparkSession, path: str) -> list[str]:
+    """Suffixes of more than one label from a text file, one to a line; blank lines, comments (//) and patterns are passed over."""
+    line = F.lower(F.trim("value"))
+    kept = spark.read.text(path).select(line.alias("x")).filter("x <> '' and x not like '//%' and x like '%.%' and x not like '%*%' and x not like '!%'")
+    found = [r.x for r in kept.distinct().limit(MOST_SUFFIXES + 1).collect()]
+    if len(found) > MOST_SUFFIXES:
+        raise ValueError(f"more than {MOST_SUFFIXES} suffixes")
+    return sorted(found)
+
+
 def suffix_and_domain(host: Column, long_suffixes: Sequence[str] = LONG_SUFFIXES) -> tuple[Column, Column]:
-    two = F.substring_index(host, ".", -2)
-    suffix = F.when(two.isin(*long_suffixes), two).otherwise(F.substring_index(host, ".", -1))
-    return suffix, F.when(two.isin(*long_suffixes), F.substring_index(host, ".", -3)).otherwise(two)
+    """Of a host, without user and port: its suffix, and the domain registered under it; both are an IP address itself."""
+    name = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+    suffix, domain = F.substring_index(name, ".", -1), F.substring_index(name, ".", -2)
+    for n in sorted({x.count(".") + 1 for x in long_suffixes}):  # the longest one last, so that it counts
+        last = F.substring_index(name, ".", -n)
+        found = last.isin([x for x in long_suffixes if x.count(".") + 1 == n])
+        suffix, domain = F.when(found, last).otherwise(suffix), F.when(found, F.substring_index(name, ".", -n - 1)).otherwise(domain)
+    address = name.rlike("^([0-9]{1,3}(\\.[0-9]{1,3}){3}|\\[.*\\])$")
+    return F.when(address, name).otherwise(suffix), F.when(address, name).otherwise(domain)
 
 
 def strength(groups: DataFrame) -> float:
@@ -70,12 +86,12 @@ def strength(groups: DataFrame) -> float:
     return 1 / rho - 1
 
 
-def reputation(labelled: DataFrame, z: float = 1.645) -> DataFrame:
+def reputation(labelled: DataFrame, z: float = 1.645, long_suffixes: Sequence[str] = LONG_SUFFIXES) -> DataFrame:
     """host, n, bad, rate and bound from rows (host, bad): bad is 0, 1 or null where the page has no label.
 
     Every host of the input has a row, labelled or not.
     """
-    suffix, domain = suffix_and_domain(F.col("host"))
+    suffix, domain = suffix_and_domain(F.col("host"), long_suffixes)
     hosts = cut(
         labelled.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
         .withColumns({"suffix": suffix, "domain": domain})
@@ -96,12 +112,12 @@ def reputation(labelled: DataFrame, z: float = 1.645) -> DataFrame:
     return level.select("host", "n", "bad", mean.alias("rate"), F.greatest(mean - z * deviation, F.lit(0.0)).alias("bound"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], limit: float = 0.5, z: float = 1.645) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], limit: float = 0.5, z: float = 1.645, long_suffixes: Sequence[str] = LONG_SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict, rate and bound of every page; outcomes: (page_id, bad)."""
     host, path = split_url(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
     worst = outcomes.filter("page_id is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    hosts = reputation(parts.join(worst, "page_id", "left").select("host", "bad"), z)
+    hosts = reputation(parts.join(worst, "page_id", "left").select("host", "bad"), z, long_suffixes)
     found = ruled(F.col("host"), F.col("path"), rules)
     joined = parts.withColumn("found", found).join(hosts.select("host", "rate", "bound"), "host", "left")
     own = F.when(F.col("bound") > limit, "block").otherwise("allow")

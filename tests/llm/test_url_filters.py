@@ -3,6 +3,8 @@ from __future__ import annotations
 from collections import defaultdict
 from math import sqrt
 
+from pyspark.sql import functions as F
+
 from terravane.llm import url_filters
 from terravane.llm.queries import URL_RULES
 
@@ -93,3 +95,23 @@ def test_bad_hosts_are_blocked(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "page_id long, bad int")
     assert url_filters.judge(frame(spark, [(1, "x")]).limit(0), none, URL_RULES).collect() == []
+
+
+def test_suffixes_and_domains(spark, tmp_path):
+    (tmp_path / "suffixes.txt").write_text("// a list\ncom\nco.uk\n\nsch.co.uk\n*.ck\n!www.ck\nexample.com.au\n")
+    suffixes = url_filters.read_suffixes(spark, str(tmp_path / "suffixes.txt"))
+    assert suffixes == ["co.uk", "example.com.au", "sch.co.uk"]
+    want = {
+        "a.b.com": ("com", "b.com"), "b.com:8080": ("com", "b.com"), "u:p@a.b.com:80": ("com", "b.com"), "x.y.co.uk": ("co.uk", "y.co.uk"), "x.y.sch.co.uk": ("sch.co.uk", "y.sch.co.uk"),
+        "10.0.0.1": ("10.0.0.1", "10.0.0.1"), "10.0.0.1:81": ("10.0.0.1", "10.0.0.1"), "[::1]:8": ("[::1]", "[::1]"), "localhost": ("localhost", "localhost"), "": ("", ""),
+    }
+    df = spark.createDataFrame([(h,) for h in want], "host string")
+    assert {r.host: (r.s, r.d) for r in df.select("host", *(c.alias(k) for c, k in zip(url_filters.suffix_and_domain(F.col("host"), suffixes), "sd"))).collect()} == want
+
+
+def test_pages_labelled_twice_take_the_worst(spark):
+    pages = frame(spark, [(k, f"http://h{k % 2}.com/{k}") for k in range(40)] + [(None, "http://h0.com/")])
+    once = spark.createDataFrame([(k, int(k % 2 == 0)) for k in range(40)], "page_id long, bad int")
+    twice = once.unionByName(once.withColumn("bad", F.lit(0))).unionByName(spark.createDataFrame([(None, 1), (99, 1)], "page_id long, bad int"))
+    a, b = (sorted((str(r.page_id), r.host, r.verdict, round(r.bound, 9)) for r in url_filters.judge(pages, x, URL_RULES).collect()) for x in (once, twice))
+    assert a == b and {v for _, h, v, _ in a if h == "h0.com"} == {"block"} and {v for _, h, v, _ in a if h == "h1.com"} == {"allow"}
