@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +31,32 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: Scratch paths made within each open swept().
+_made: list[list[str]] = []
+
+
+def scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the shared folder; unless kept, it goes with the swept() in which it was made."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _made and not keep:
+        _made[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Scratch that is made within goes at the end; what reads it must be written by then."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            remove(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -40,9 +65,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+def stored(df: DataFrame, name: str, keep: bool = False, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder; for wide rows, which Parquet packs and prunes."""
-    path = scratch(df.sparkSession, name)
+    path = scratch(df.sparkSession, name, keep)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

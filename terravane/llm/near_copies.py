@@ -1,8 +1,10 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of 0.8 at least, and what such links join.
 
-1. Exact copies are collapsed. Each text gets the minima of its shingles' hashes under BANDS x ROWS multipliers.
-   Texts that share all minima of a band are candidates: a pair at similarity s shares a band with the
-   probability 1 - (1 - s ** ROWS) ** BANDS, 0.9999 at 0.8 and more above.
+1. Exact copies are collapsed. Each text gets its SimHash fingerprint and the minima of its shingles' hashes under
+   BANDS x ROWS multipliers, from the same hashes. Candidates are texts whose fingerprints are within RADIUS, found by
+   the vantage-point trees, and, since texts at 0.8 mostly differ in more bits than any tree of 64-bit fingerprints
+   can prune by, texts that share all minima of a band: a pair at similarity s shares one with the probability
+   1 - (1 - s ** ROWS) ** BANDS, 0.9999 at 0.8 and more above.
 2. Groups of candidates that touch are dealt out whole with their texts, large ones as pairs of blocks. Pairs whose
    minima agree nearly as often as they should are compared by their shingles, unless they are joined already.
 3. Of each component of the links that hold, one text stays.
@@ -18,32 +20,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import cut, stored
 from .simhash import components
 from .suffix_dedup import mix
 
+#: Bits in which fingerprints of candidates differ at most.
+RADIUS = 2
 #: Bands of a signature, and minima in each.
 BANDS, ROWS = 24, 5
 #: What the share of equal minima may be under the similarity; over five standard deviations.
 SLACK = 0.2
 #: Texts of a block, where candidates are too many for one task.
 TILE = 512
-#: Bytes of text for each bucket, and the least number of buckets.
-BUCKET, LEAST_BUCKETS = 8 << 20, 64
+#: Bytes of text for each bucket and for each partition of buckets, and the least number of buckets.
+BUCKET, PARTITION, LEAST_BUCKETS = 2 << 20, 8 << 20, 64
 
 FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
     """Distinct hashes of the word shingles, in order."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII letters and white space only
-    h = xxhash.xxh64_intdigest
-    n = max(1, len(w) - width + 1) if w else 0
-    return np.unique(np.fromiter((h(b" ".join(w[k : k + width])) for k in range(n)), np.uint64, n))
+    return np.unique(simhash.hashes(text, width))
 
 
 def minima(s: np.ndarray) -> np.ndarray:
@@ -90,20 +91,29 @@ def links(texts: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [band_keys(minima(shingles(t, width))) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], ["node", "keys"])
-
-    signed = stored(texts.select("node", "text").mapInArrow(sign, "node long, keys array<long>"), "bands")
+            fps, keys = np.zeros(b.num_rows, np.uint64), []
+            for k, t in enumerate(b.column(1)):
+                h = simhash.hashes(t.as_py(), width)
+                fps[k] = simhash.majority(h)
+                keys.append(band_keys(minima(np.unique(h))))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["node", "fp", "keys"])
+
+    signed = stored(texts.select("node", "text").mapInArrow(sign, "node long, fp long, keys array<long>"), "signatures")
+    first = cut(signed.groupBy("fp").agg(F.min("node").alias("low")))
+    alike = signed.select("node", "fp").join(first, "fp").filter("node > low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    ends = [first.select(F.col("fp").alias(k), F.col("low").alias(f"{k}_node")) for k in ("a", "b")]
+    near = simhash.links(first, RADIUS).join(ends[0], "a").join(ends[1], "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     banded = signed.select("node", F.explode("keys").alias("key"))
     groups = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key", "low")
     stars = banded.join(groups, "key").filter("node > low").select(F.col("low").alias("a"), F.col("node").alias("b"))
-    near = cut(components(stars))
+    near = cut(components(stars.unionByName(alike).unionByName(near)))
     sizes = near.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     placed = near.join(sizes, "label").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     placed = placed.select("node", "block", F.xxhash64("label", F.least("block", "other"), F.greatest("block", "other")).alias("tile"))
     placed = cut(placed.join(texts.select("node", F.octet_length("text").alias("size")), "node"))
-    n = max(LEAST_BUCKETS, int(placed.agg(F.sum("size")).first()[0] or 0) // BUCKET)
+    total = int(placed.agg(F.sum("size")).first()[0] or 0)
+    n, p = max(LEAST_BUCKETS, total // BUCKET), max(8, total // PARTITION)
 
     def compare(t: pa.Table) -> pa.Table:
         node, block, tile = (t.column(c).to_numpy() for c in ("node", "block", "tile"))
@@ -115,7 +125,7 @@ def links(texts: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
     full = placed.drop("size").join(texts.select("node", "text"), "node").withColumn("bucket", F.pmod("tile", F.lit(n)))
-    return full.groupBy("bucket").applyInArrow(compare, "a long, b long")
+    return full.repartition(p, "bucket").groupBy("bucket").applyInArrow(compare, "a long, b long")
 
 
 def keep_first(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:

@@ -32,8 +32,11 @@ from .common import cut
 SECTIONS, BITS = 4, 16
 #: Widths of the bands of distances, and about how many shards they make of evenly spread bits.
 WIDTHS = {3: 58, 1: 4700}
-#: Fingerprints that a task holds of a shard; larger shards are held in blocks.
+#: Fingerprints that a task holds of a shard at most; larger shards are held in blocks.
 SHARD = 1 << 20
+#: One in so many of all fingerprints makes a block too, so that a crowded shard doesn't weigh on one task; a share of
+#: all, so that copies don't grow faster than the fingerprints.
+CROWDED = 16
 #: Fingerprints from which vantage points are chosen.
 SAMPLE = 1024
 #: A block's visitors are dealt out so that about as many as it holds, or so many at least, meet a copy of it.
@@ -42,23 +45,31 @@ VISITORS = 2_000
 LEAF = 1 << 20
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """Majority bits of the XXH64 of all word shingles, repeats included."""
+def hashes(text: str | None, width: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of all word shingles in order, repeats included; a text of fewer words is one shingle, one without words has none."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII letters and white space only
     if not w:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, ends, at = b" ".join(w), [], -1
     for x in w:
         at += len(x) + 1
         ends.append(at)
     starts = [0, *(e + 1 for e in ends[:-1])]
     h, n = xxhash.xxh64_intdigest, max(1, len(w) - width + 1)
+    return np.fromiter((h(joined[a:b], seed) for a, b in zip(starts[:n], ends[min(width, len(w)) - 1 :])), np.uint64, n)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half the hashes."""
     total = np.zeros(64, np.int64)
-    for k in range(0, n, 1 << 16):  # very long texts stay within a block's memory
-        part = [h(joined[a:b], seed) for a, b in zip(starts[k : k + (1 << 16)], ends[min(width, len(w)) - 1 :][k : k + (1 << 16)])]
-        bits = np.unpackbits(np.array(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for k in range(0, len(h), 1 << 16):  # very long texts stay within a block's memory
+        bits = np.unpackbits(h[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         total += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n, bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(2 * total > len(h), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    return majority(hashes(text, width, seed))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -169,7 +180,8 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     homes, visits = fps.select("fp", own.alias("cell")), fps.select("fp", F.explode(visited).alias("cell"))
     held = homes.groupBy("cell").agg(F.count(F.lit(1)).alias("held"))
     met = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("met"))
-    blocks = F.ceil(F.col("held") / SHARD)
+    block = min(SHARD, max(VISITORS, n // CROWDED))
+    blocks = F.ceil(F.col("held") / block)
     copies = F.ceil(F.col("met") / F.greatest(F.ceil(F.col("held") / blocks), F.lit(VISITORS)))
     # As many rows as there are bands to the power of SECTIONS, 83,521 at most. Shards that hold nothing get no visitors.
     sizes = F.broadcast(cut(held.join(met, "cell").select("cell", blocks.alias("blocks"), copies.alias("copies"))))
@@ -216,14 +228,3 @@ def classes(docs: DataFrame, radius: int = 2) -> DataFrame:
     # Cut off, so that the last join has exchanges of its own and a fingerprint of very many documents is split.
     of = cut(distinct.join(named, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("low", "least").alias("component_id")))
     return own.join(of, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_first(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """The document with the smallest doc_id of each component, once, with all its columns.
-
-    Rows without doc_id stay, as they can't be named; of rows that repeat a kept doc_id one stays.
-    """
-    named = classes(docs.filter("doc_id is not null"), radius)
-    first = named.filter("doc_id = component_id").select(F.col("doc_id").alias("__tv_first")).distinct()
-    kept = docs.join(first, F.col("doc_id") == F.col("__tv_first"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))

@@ -100,3 +100,84 @@ def test_no_pages(spark):
 def test_deep_and_broken_markup():
     assert html_extract.Page("<div>" * 500 + "deep" + "</p></span>" * 10).main_text(None) == "deep"
     assert html_extract.Page("a < b <3 & c &amp d <").main_text(None) == "a < b <3 & c & d <"
+
+
+@pytest.mark.parametrize(
+    ("name", "aside"),
+    [("ad", True), ("ad-box", True), ("ads2", True), ("site-header", True), ("share-buttons", True), ("cookie_notice", True), ("comments", True), ("comment-list", True), ("related-posts", True), ("sidebar-12", True),
+     ("share-prices", False), ("comment-free", False), ("no-sidebar", False), ("with-sidebar", False), ("post", False), ("adventure", False), ("search-results", False), ("main-content", False), ("12", False), ("", False)],
+)
+def test_names_of_what_stands_beside(name, aside):
+    assert html_extract.is_aside(name) == aside
+
+
+def test_article_text_with_such_names_stays():
+    page = html_extract.Page("<article><p>First.</p><p id='share-prices'>Share prices rose.</p><div class='comment-free'>Quiet.</div><p class='ad'>Still prose.</p><div class='share'>Tell</div></article>")
+    assert page.main_text(None) == "First.\n\nShare prices rose.\n\nQuiet.\n\nStill prose."
+
+
+BODY = "".join(f"<p>Paragraph {k} says something of a fair length, with commas, and more.</p>" for k in range(4))
+WANTED = "\n\n".join(f"Paragraph {k} says something of a fair length, with commas, and more." for k in range(4))
+TEMPLATES = [
+    "<div id=page><div class='site-header'>Name</div><div class='no-sidebar'><div class='entry'>{}</div></div><div class='widget-area'><ul><li>x</ul></div></div>",
+    "<table><tr><td class=left><a href=a>One</a><br><a href=b>Two</a></td><td>{}</td></tr></table><div class=copyright>c</div>",
+    "<main>{}<section class='related-posts'><p>Another story that one might read some other time, with a long teaser.</p></section></main><div role=contentinfo>x</div>",
+    "<section><div><div>{}</div></div></section><section id=comments><div><p>A reader has much to say, and says it here at length, again and again, on and on.</p></div></section>",
+]
+
+
+@pytest.mark.parametrize("template", TEMPLATES)
+def test_templates_without_article(spark, template):
+    page = html_extract.Page(f"<html><body>{template.format(BODY)}</body></html>")
+    assert page.main_text(None) == WANTED
+    assert page.main_text(page.path(page.best())) == WANTED
+    rows = [(k, "http://h/x", f"<html><body>{template.format(BODY)}</body></html>") for k in range(5)]
+    assert {r.text for r in html_extract.main_texts(frame(spark, rows)).collect()} == {WANTED}
+
+
+HOSTILE = ["<a ", "<div>w ", "<span class=x>", "<a<", '<a "', "<h1>x", "<p><span>", "</div></b>", "<b>x", "<table><tr><td>x", "<li>x", "<!-", "<a '\"", "&amp", "<script", "<ul><li><p>x", "<x y='", "</", "<"]
+
+
+@pytest.mark.parametrize("markup", HOSTILE)
+def test_hostile_markup_takes_time_in_proportion(markup):
+    import time
+
+    def seconds(size):
+        began = time.process_time()
+        page = html_extract.Page(markup * (size // len(markup)))
+        page.main_text(page.path(page.best()))
+        return time.process_time() - began
+
+    assert seconds(1 << 20) < 40 * max(seconds(1 << 16), 0.05)  # 16 times the length
+
+
+def test_unclosed_tags_keep_their_text():
+    assert html_extract.Page("<p>a < b and c <d <p>next").main_text(None) == "a < b and c <d\n\nnext"
+    assert html_extract.Page("<table><tr><td><b>1<tr><td>2<dl><dt>t<dd>d<dt>u</dl>").text({0}).split("\n\n") == ["1", "2", "t", "d", "u"]
+
+
+def test_archives_are_bounded_and_streamed(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS", 7)
+    rows = [(k, f"http://h/{k}", "x" * (k * 37 % 5000)) for k in range(60)]
+    df = frame(spark, rows).coalesce(1)
+    arc, to = scratch(spark, "arc"), scratch(spark, "warc")
+    warc.write_arc(df, arc, 2)
+    each = [len(list(warc.arc_records(r.content))) for r in warc.archives(spark, arc).collect()]
+    assert sum(each) == 60 and max(each) <= 6 and len(each) == 10  # a version block opens each
+    warc.convert(spark, arc, to)
+    assert max(len(list(warc.warc_records(r.content))) for r in warc.archives(spark, to).collect()) <= 7
+    assert sorted((r.page_id, r.payload_bytes) for r in warc.read_warc(spark, to).collect()) == [(k, len(h)) for k, _, h in rows]
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1 << 20])
+def test_inflating_by_pieces(monkeypatch, piece):
+    import gzip
+
+    monkeypatch.setattr(warc, "PIECE", piece)
+    body = warc.version_block(2, "n", "20000101000000") + "\n" + "".join(warc.arc_record(2, f"http://a/{k}", "20000101000000", "y\n" * k, "n") + "\n" for k in range(30))
+    want = [(f"http://a/{k}", b"y\n" * k) for k in range(30)]
+    raw = body.encode()
+    for b in (raw, gzip.compress(raw), b"".join(gzip.compress(raw[k : k + 100]) for k in range(0, len(raw), 100))):
+        assert [(r.url, r.content) for r in warc.arc_records(b)] == want
+    with pytest.raises(ValueError):
+        list(warc.arc_records(gzip.compress(raw)[:-20]))

@@ -92,18 +92,8 @@ def test_odd_documents(spark):
     assert sorted(key(r.doc_id, r.fp % 2**64, r.component_id) for r in rows) == sorted(key(d, f, smallest.get(g)) for (d, _), f, g in zip(ODD, fps, want))
 
 
-def test_keep_first(spark):
-    docs = documents(spark, ODD)
-    kept = simhash.keep_first(docs)
-    assert kept.schema == docs.schema
-    ids = [r.doc_id for r in kept.collect()]
-    assert len([x for x in ids if x is not None]) == len({x for x in ids if x is not None})
-    assert 4 in ids and 5 not in ids and 0 in ids and 1 not in ids and ids.count(None) == 2
-
-
 def test_empty_table(spark):
     assert simhash.classes(documents(spark, []).limit(0)).collect() == []
-    assert simhash.keep_first(documents(spark, []).limit(0)).collect() == []
 
 
 def test_chain_settles(spark):
