@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before has kept. All but the last return
 the columns of docs, further ones included. Null texts count as empty, so the quality rules reject them;
-an empty table passes through all stages.
+of rows that repeat a text, and of near copies, the one with the smallest doc_id stays (without any doc_id, one of them);
+two passages that tie are told apart by doc_id, then text; an empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravane.llm import near_copies, packing, quality_rules, suffix_dedup
-from terravane.llm.common import stored
+from terravane.llm.common import stored, swept
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +22,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard similarity from 0.8) the smallest doc_id stays."""
+    """Of each group of near copies (five-word shingles, Jaccard similarity from 0.8) the smallest doc_id stays.
+
+    Candidates come from SimHash fingerprints by vantage-point trees, and from bands of minima for what those can't reach.
+    """
     return near_copies.keep_first(docs, width=5, least=0.8)
 
 
@@ -42,13 +46,15 @@ STAGES = [("quality rules", quality), ("near-dedup", near_dedup), ("suffix-array
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents; what each but the last returns is written as Parquet and read again."""
+    """All stages on the documents; what each but the last returns is written as Parquet and read again.
+
+    Scratch that a stage has made goes once its result is written; the last stage's stays for whoever reads the result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, "pipeline-" + "".join(c if c.isalnum() else "-" for c in name))
-    return docs
+    for name, stage in STAGES[:-1]:
+        with swept(spark):
+            docs = stored(stage(spark, docs, sf_dir), "pipeline-" + "".join(c if c.isalnum() else "-" for c in name), keep=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: Rule votes, fingerprints, repeats of bytes and packing are beyond SQL; tests hold each stage against brute force.
