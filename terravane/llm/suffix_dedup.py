@@ -14,7 +14,8 @@ repeated windows.
    8-byte digits of the window, pass by pass, until the threshold.
 3. Repeats are put together per document.
 
-Records travel packed, many to a row; tasks hold one bucket, whose number follows the size of the input.
+Records travel packed, many to a row; tasks hold one bucket at a time. The numbers of buckets and of partitions follow
+the size of the input.
 
 Edge cases: a null text counts as empty; texts shorter than the threshold lose nothing; a null doc_id comes
 before all others; rows that repeat both doc_id and text are one document and give repeated results; rows
@@ -42,7 +43,9 @@ SEED = 32
 #: Bytes of text that a map task works on at once.
 PIECE = 1 << 20
 #: Bytes of text for each bucket, and the least number of buckets.
-BUCKET, LEAST_BUCKETS = 8 << 20, 64
+BUCKET, LEAST_BUCKETS = 2 << 20, 64
+#: Bytes of text for each partition of buckets: their number follows the input, whatever the session's setting.
+PARTITION = 8 << 20
 #: Added to the number of a run that may repeat itself; greater than any number.
 TIED = 128
 #: Stands for a null doc_id.
@@ -280,12 +283,13 @@ def merged(spans: list[bytes], threshold: int) -> dict[tuple[int, int], list[tup
 
 
 def _found(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, int]:
-    """docs with their bucket, and the rows (b, spans) of the buckets."""
+    """docs with their bucket, the rows (b, spans) of the buckets, and the number of partitions to deal them out to."""
     if not SEED + 8 <= threshold < SEED + TIED:
         raise ValueError(f"the threshold must be from {SEED + 8} to {SEED + TIED - 1}")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(LEAST_BUCKETS, int(total) // BUCKET)
     d = prime_from(n)  # ids in steps still fall into all buckets
+    p = max(8, int(total) // PARTITION)
 
     def first_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -348,18 +352,18 @@ def _found(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, int]:
         return pa.Table.from_pylist(rows, pa.schema([("b", pa.int64()), ("spans", pa.binary())]))
 
     own = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(first_digits, "b long, runs binary, spans binary")
-    known = stored(own.groupBy("b").applyInArrow(refine, "b long, spans binary, wanted binary"), "repeats", compression="zstd")
+    known = stored(own.repartition(p, "b").groupBy("b").applyInArrow(refine, "b long, spans binary, wanted binary"), "repeats", compression="zstd")
     placed = docs.withColumn("__tv_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE))).withColumn("__tv_bucket", F.pmod(F.col("__tv_id").bitwiseXOR(F.xxhash64("text")), F.lit(d)))
     slim = placed.select("__tv_bucket", "__tv_id", F.col("text").alias("__tv_text"))
     wanted = known.filter("wanted is not null").select("b", "wanted")
-    runs_ = slim.groupBy("__tv_bucket").cogroup(wanted.groupBy("b")).applyInArrow(fetch, "h long, runs binary, bytes binary")
-    more = runs_.groupBy("h").applyInArrow(order, "b long, spans binary")
-    return placed, known.filter("spans is not null").select("b", "spans").unionByName(more), d
+    runs_ = slim.repartition(p, "__tv_bucket").groupBy("__tv_bucket").cogroup(wanted.repartition(p, "b").groupBy("b")).applyInArrow(fetch, "h long, runs binary, bytes binary")
+    more = runs_.repartition(p, "h").groupBy("h").applyInArrow(order, "b long, spans binary")
+    return placed, known.filter("spans is not null").select("b", "spans").unionByName(more), p
 
 
 def digest(docs: DataFrame, threshold: int = 100) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (start, end in bytes) of every document."""
-    placed, found, _ = _found(docs, threshold)
+    placed, found, p = _found(docs, threshold)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
 
     def finish(docs: pa.Table, t: pa.Table) -> pa.Table:
@@ -377,7 +381,7 @@ def digest(docs: DataFrame, threshold: int = 100) -> DataFrame:
         return pa.Table.from_pylist(rows, kind)
 
     slim = placed.select("__tv_bucket", "__tv_id", F.col("text").alias("__tv_text"), F.col("doc_id").cast("long"))
-    return slim.groupBy("__tv_bucket").cogroup(found.groupBy("b")).applyInArrow(finish, schema)
+    return slim.repartition(p, "__tv_bucket").groupBy("__tv_bucket").cogroup(found.repartition(p, "b").groupBy("b")).applyInArrow(finish, schema)
 
 
 def kept_text(b: bytes, gone: list[tuple[int, int]]) -> str:
@@ -395,7 +399,7 @@ def kept_text(b: bytes, gone: list[tuple[int, int]]) -> str:
 
 def strip(docs: DataFrame, threshold: int = 100) -> DataFrame:
     """docs, all columns kept, with the repeats cut out of text; texts of which nothing is left go."""
-    placed, found, _ = _found(docs, threshold)
+    placed, found, p = _found(docs, threshold)
     names = docs.columns
     placed = placed.withColumn("__tv_text", F.col("text"))
 
@@ -410,4 +414,4 @@ def strip(docs: DataFrame, threshold: int = 100) -> DataFrame:
         out = docs.set_column(k, docs.field(k), pa.chunked_array([pa.array(texts, docs.field(k).type)])).select(names)
         return out.filter(pa.array(stay, pa.bool_()))
 
-    return placed.groupBy("__tv_bucket").cogroup(found.groupBy("b")).applyInArrow(finish, StructType(docs.schema.fields))
+    return placed.repartition(p, "__tv_bucket").groupBy("__tv_bucket").cogroup(found.repartition(p, "b").groupBy("b")).applyInArrow(finish, StructType(docs.schema.fields))
