@@ -12,7 +12,6 @@ further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,9 +36,9 @@ def whole_tokens(bpe: WordBpe) -> frozenset[str]:
 
 
 class Counter:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, whole: frozenset[str] | None = None) -> None:
         self.bpe = WordBpe(path)
-        self.whole = whole_tokens(self.bpe)
+        self.whole = whole_tokens(self.bpe) if whole is None else whole
         self.known = Remembered(self.chunk)
 
     def chunk(self, chunk: str) -> int:
@@ -52,17 +51,25 @@ class Counter:
         return sum(map(self.known.__getitem__, chunks)) + len(special)
 
 
-@cache
-def counter(path: str) -> Counter:
-    """One for each Python worker."""
-    return Counter(path)
+_counters: dict[str, Counter] = {}
+
+
+def counter(path: str, whole: frozenset[str] | None = None) -> Counter:
+    """One for each Python worker and vocabulary; whole: what is proven already."""
+    if path not in _counters:
+        _counters[path] = Counter(path, whole)
+    return _counters[path]
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and over_limit of every document; path: the vocabulary file, on every machine."""
+    """doc_id, n_bytes, n_tokens and over_limit of every document; path: the vocabulary file, on every machine.
+
+    The proof is made once, before any text is read, and sent to the workers: it is no larger than the vocabulary.
+    """
+    proven = docs.sparkSession.sparkContext.broadcast(whole_tokens(WordBpe(path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(path)
+        c = counter(path, proven.value)
         for b in batches:
             n = pa.array([c.count(t.as_py() or "") for t in b.column(2)], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], ["doc_id", "n_bytes", "n_tokens"])
