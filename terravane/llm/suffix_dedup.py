@@ -9,7 +9,9 @@ repeated windows.
    suffixes share it, so one record stands for a run of them (35 on average), with a digest of all bytes
    that the run's windows cover. Records are dealt out by digit. A run whose digit occurs nowhere else is
    done; a run with the digest of an earlier one repeats it as a whole; only the first of each digest goes
-   on, and only if its digit has several digests.
+   on, and only if its digit has several digests. Strings that are very common (as in a licence line) are counted
+   beforehand over all texts and come last in the order of hashes: a window takes one as its digit only if it
+   holds no other string, so that a common line in very many surroundings isn't one group.
 2. The bytes of those runs are fetched and dealt out by digit again, and the suffixes are sorted by
    8-byte digits of the window, pass by pass, until the threshold.
 3. Repeats are put together per document.
@@ -46,6 +48,11 @@ PIECE = 1 << 20
 BUCKET, LEAST_BUCKETS = 2 << 20, 64
 #: Bytes of text for each partition of buckets: their number follows the input, whatever the session's setting.
 PARTITION = 8 << 20
+#: Times that a string occurs in a piece before it counts as common there, and in all, as a number and as a share of all
+#: bytes; by the share there are 2**22 common strings at most.
+LOCAL, COMMON, SHARE = 3, 20_000, 1 << 22
+#: Set in the hashes of common strings, so that they come last.
+LAST = np.uint64(1 << 63)
 #: Added to the number of a run that may repeat itself; greater than any number.
 TIED = 128
 #: Stands for a null doc_id.
@@ -99,7 +106,51 @@ def slide(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(x[: len(x) - (width - n)], x[width - n :]) if n < width else x
 
 
-def runs(buf: np.ndarray, ends: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def string_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash sums up to each byte, hash of the string that begins at each byte), the latter below LAST."""
+    n = len(buf)
+    up, down = powers(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+    return sums, mix((sums[SEED:] - sums[:-SEED]) * down[: n - SEED + 1]) >> np.uint64(1)
+
+
+def frequent(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, times) of the strings that occur LOCAL times at least in buf."""
+    if len(buf) < SEED:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x = string_hashes(buf)[1].astype(np.int64)
+    cell = x & ((1 << 22) - 1)
+    u, n = np.unique(x[np.bincount(cell, minlength=1 << 22)[cell] >= LOCAL], return_counts=True)
+    return u[n >= LOCAL], n[n >= LOCAL]
+
+
+def common_strings(docs: DataFrame, total: int) -> np.ndarray:
+    """Hashes, in order, of the strings that count as common among all texts; which these are never changes the result."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            whole = b"".join(bytes_of(b.column(0)))
+            for k in range(0, len(whole), PIECE):
+                u, n = frequent(np.frombuffer(whole[k : k + PIECE], np.uint8))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    counted = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r.h for r in counted.filter(F.col("n") >= max(COMMON, total // SHARE)).select("h").collect()], np.uint64))
+
+
+def last_if_common(x: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Hashes with LAST set in the common ones."""
+    if len(common):
+        maybe = np.zeros(1 << 22, bool)
+        maybe[common & np.uint64((1 << 22) - 1)] = True
+        at = np.flatnonzero(maybe[x & np.uint64((1 << 22) - 1)])
+        k = np.minimum(np.searchsorted(common, x[at]), len(common) - 1)
+        x[at[common[k] == x[at]]] |= LAST
+    return x
+
+
+def runs(buf: np.ndarray, ends: np.ndarray, threshold: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(digit, digest, first suffix, number) of the runs of suffixes in buf; no window crosses one of ends.
 
     The number has TIED added where the digit's string occurs again nearby, so that the run may repeat itself.
@@ -107,10 +158,9 @@ def runs(buf: np.ndarray, ends: np.ndarray, threshold: int) -> tuple[np.ndarray,
     n, width = len(buf), threshold - SEED + 1
     if n < threshold:
         return tuple(np.zeros(0, np.uint64) for _ in range(4))
-    up, down = powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    seeds = mix((sums[SEED:] - sums[:-SEED]) * down[: n - SEED + 1])
+    down = powers(n + 1)[1]
+    sums, seeds = string_hashes(buf)
+    seeds = last_if_common(seeds, common)
     least = slide(seeds, width, np.minimum)
     whole = np.ones(len(least), bool)
     for e in ends:
@@ -144,14 +194,14 @@ def home(x: np.ndarray, d: int) -> np.ndarray:
     return np.mod(x["doc"] ^ x["tag"].astype(np.int64), d)
 
 
-def text_runs(ids: list[int], texts: list[bytes], threshold: int) -> Iterator[np.ndarray]:
+def text_runs(ids: list[int], texts: list[bytes], threshold: int, common: np.ndarray = np.zeros(0, np.uint64)) -> Iterator[np.ndarray]:
     """RUN records of the texts, in pieces of about PIECE bytes; long texts overlap from piece to piece."""
     held: list[tuple[int, int, int, bytes]] = []  # doc, tag, start, bytes
     size = 0
 
     def out() -> np.ndarray:
         ends = np.cumsum([len(x[3]) for x in held])
-        v, c, a, n = runs(np.frombuffer(b"".join(x[3] for x in held), np.uint8), ends, threshold)
+        v, c, a, n = runs(np.frombuffer(b"".join(x[3] for x in held), np.uint8), ends, threshold, common)
         of = np.searchsorted(ends, a, side="right")
         r = np.zeros(len(a), RUN)
         r["v"], r["c"], r["n"] = v, c, n
@@ -290,10 +340,11 @@ def _found(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, int]:
     n = max(LEAST_BUCKETS, int(total) // BUCKET)
     d = prime_from(n)  # ids in steps still fall into all buckets
     p = max(8, int(total) // PARTITION)
+    common = docs.sparkSession.sparkContext.broadcast(common_strings(docs, int(total)))
 
     def first_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for r in text_runs(ids_of(x.column(0)).tolist(), bytes_of(x.column(1)), threshold):
+            for r in text_runs(ids_of(x.column(0)).tolist(), bytes_of(x.column(1)), threshold, common.value):
                 # Of equal runs in one piece the first stands for all; the others are repeats already.
                 again = np.zeros(len(r), bool)
                 again[1:] = (r["v"][1:] == r["v"][:-1]) & (r["c"][1:] == r["c"][:-1])

@@ -32,7 +32,8 @@ def brute(texts, threshold=100):
 
 
 def compare(spark, texts, threshold=100):
-    want = sorted((str(d), *brute(texts, threshold)[d, t or ""]) for d, t in texts)
+    found = brute(texts, threshold)
+    want = sorted((str(d), *found[d, t or ""]) for d, t in texts)
     rows = suffix_dedup.digest(documents(spark, texts), threshold).collect()
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == want
     assert all(sum(x.end - x.start for x in r.spans) == r.n_removed for r in rows)
@@ -60,6 +61,31 @@ def test_many_rows_without_id(spark):
     assert placed.select("__tv_bucket").distinct().count() > 30
 
 
+def line_in_many_texts(n):
+    r = random.Random(11)
+    make = lambda k: "".join(r.choice("abcdefgh ") for _ in range(k))
+    line, passage = make(70), make(240)
+    return [(k, make(r.randint(60, 150)) + line + make(r.randint(60, 150)) + (passage[r.randint(0, 90) :] if k % 5 == 0 else "") + make(20)) for k in range(n)]
+
+
+def test_common_lines(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "COMMON", 30)
+    compare(spark, line_in_many_texts(150))
+
+
+def test_common_strings_come_last():
+    texts = [t.encode() for _, t in line_in_many_texts(300)]
+    h, n = suffix_dedup.frequent(np.frombuffer(b"".join(texts), np.uint8))
+    common = np.sort(h[n >= 30].astype(np.uint64))
+    assert len(common) >= 70 - suffix_dedup.SEED + 1
+    largest = []
+    for known in (common[:0], common):
+        r = np.concatenate(list(suffix_dedup.text_runs(list(range(300)), texts, 100, known)))
+        _, each = np.unique(np.unique(r[["v", "c"]])["v"], return_counts=True)  # digests of a digit
+        largest.append(each.max())
+    assert largest[0] > 250 and largest[1] < 70, largest
+
+
 def test_periodic_texts(spark):
     compare(spark, [(1, "abc" * 100), (2, "x" * 400), (3, "x" * 150 + "y" + "x" * 99), (4, ("Éan " * 90)), (5, "q" * 99), (6, "cab" * 80)])
 
