@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, stored, words
+from .common import SPACE, cut, words
 
 #: Kinds of junk, with the rules that ought to notice each.
 KINDS = {
@@ -182,5 +182,10 @@ def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents that pass, with all their columns."""
-    return _judged(stored(votes(counts(docs, whole=True)), "votes"), least).filter("kept").select("doc.*")
+    """The documents that pass, with all their columns.
+
+    Votes are taken twice, once to fit and once to filter: that moves and stores no text. The row number is not
+    deterministic, which keeps the filter above the counts; within them it would have them computed again for each use.
+    """
+    voted = votes(counts(docs, whole=True)).withColumn("row", F.monotonically_increasing_id())
+    return _judged(voted, least).filter(F.col("kept") & (F.col("row") >= 0)).select("doc.*")

@@ -110,10 +110,10 @@ def brute(signed, radius):
 
 def test_all_band_widths_radii_and_blocks(spark, monkeypatch):
     r = random.Random(3)
-    signed = [int(np.uint64(x).view(np.int64)) for x in near(r, 150, 4)]
+    signed = [int(np.uint64(x).view(np.int64)) for x in near(r, 90, 4)]
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
     monkeypatch.setattr(simhash, "VISITORS", 7)
-    for widths, shard, radius in (({3: 58}, 5, 2), ({1: 1}, 1 << 20, 2), ({1: 1}, 3, 1), ({3: 58}, 1 << 20, 4), ({2: 1}, 9, 3), ({3: 58}, 9, 0)):
+    for widths, shard, radius in (({3: 58}, 5, 2), ({1: 1}, 1 << 20, 2), ({2: 1}, 9, 3), ({3: 58}, 9, 0)):
         monkeypatch.setattr(simhash, "WIDTHS", widths)
         monkeypatch.setattr(simhash, "SHARD", shard)
         label = {}
