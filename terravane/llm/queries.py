@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, html_extract, media, packing, quality_rules, simhash, suffix_dedup, token_counts, url_filters, warc
+from . import byte_bpe, filter_audit, html_extract, media, packing, quality_rules, simhash, suffix_dedup, token_counts, url_filters, warc
 from .common import table
 
 #: The rules of op10, fixed by its contract.
@@ -77,6 +77,11 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = filter_audit.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit.audit(judged, list("ABCDE"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_url_filters": op10_url_filters,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -122,4 +128,18 @@ ORACLE: dict[str, str] = {
     host_in AS (SELECT named.*, rate AS above FROM named JOIN domain_r ON domain = name), {_level("host", "above")}
     SELECT parts.page_id, host, path, rule, coalesce(ruled.verdict, CASE WHEN greatest(rate - 1.645 * sqrt(rate * (1 - rate) / (size + 1)), 0) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
     FROM parts LEFT JOIN ruled USING (page_id) LEFT JOIN host_r ON host = name""",
+    "op11_filter_audit": r"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+    f AS (SELECT doc_id, part, (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+        || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END) || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN doc_id > least THEN 'E' ELSE '' END) AS fails FROM d),
+    l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+    c AS (SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+    x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    s AS (SELECT o, unnest([1, 2, 3, 4, 5]) AS step FROM o),
+    g AS (SELECT part, fails, n, good, toxic, o, CASE WHEN fails = '' THEN 6 ELSE list_min(list_transform(string_split(fails, ''), lambda y: instr(o, y))) END AS gone FROM c, o),
+    r AS (SELECT part, o, s.step, substr(o, s.step, 1) AS name, sum(CASE WHEN gone > s.step THEN n ELSE 0 END) AS kept, sum(CASE WHEN gone = s.step THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN gone < s.step AND contains(fails, substr(o, s.step, 1)) THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = substr(o, s.step, 1) THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN gone = s.step THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN gone = s.step THEN toxic ELSE 0 END) AS toxic_lost FROM g JOIN s USING (o) GROUP BY part, o, s.step)
+    SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+    CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, name) AS BIGINT) AS shapley FROM r""",
 }
