@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, filter_audit, html_extract, media, packing, quality_rules, simhash, spelling, suffix_dedup, token_counts, url_filters, warc
+from . import byte_bpe, filter_audit, html_extract, jaccard_join, media, packing, quality_rules, simhash, spelling, suffix_dedup, token_counts, url_filters, warc
 from .common import table
 
 #: The rules of op10, fixed by its contract.
@@ -86,6 +86,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), every=199))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"), width=5, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -99,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filters": op10_url_filters,
     "op11_filter_audit": op11_filter_audit,
     "op12_spelling": op12_spelling,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
