@@ -66,7 +66,7 @@ def removals(judged: DataFrame, k: int) -> DataFrame:
     """part, order, step (both from 0), total, removed, good, toxic: judged has part, fails (bits), good, toxic (0/1), n (rows like it)."""
     table = first_failures(k)
     orders, steps = table.shape[1], k + 1
-    size = orders * steps
+    size, most = orders * steps, PARTS
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -88,7 +88,7 @@ def removals(judged: DataFrame, k: int) -> DataFrame:
                 sums = held.setdefault(name, np.zeros((3, size)))
                 for i, keep in enumerate((np.ones(len(kinds)), kinds // 2 % 2, kinds % 2)):
                     sums[i] += np.bincount(cell, np.repeat(times * keep, orders), size)
-                if len(held) >= PARTS:
+                if len(held) >= most:
                     yield out()
                     held.clear()
         if held:

@@ -200,6 +200,8 @@ def tile_pairs(label: np.ndarray, asks: np.ndarray, block: np.ndarray, size: np.
 def sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc, tag, n, node and rows (its hashes) of every document, and key, times of what tasks find common, in rows of their own."""
 
+    local, most = LOCAL, HELD
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none, zero = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         seen: set[int] = set()
@@ -208,7 +210,7 @@ def sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
         def common() -> pa.RecordBatch:
             u, n = np.unique(np.concatenate(held or [none]), return_counts=True)
-            u, n = u[n >= LOCAL].view(np.int64), n[n >= LOCAL].astype(np.int64)
+            u, n = u[n >= local].view(np.int64), n[n >= local].astype(np.int64)
             gone = pa.nulls(len(u), pa.int64())
             return pa.RecordBatch.from_arrays([gone] * 5 + [pa.array(u), pa.array(n)], names)
 
@@ -226,7 +228,7 @@ def sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 found.append((len(s), node, len(keys)))
                 held.append(keys)
                 size += len(keys)
-                if size > HELD:
+                if size > most:
                     yield common()
                     held, size = [], 0
             gone = pa.nulls(b.num_rows, pa.int64())
@@ -245,7 +247,7 @@ def shared(docs: DataFrame, own: DataFrame, width: int, percent: int) -> DataFra
     order = np.argsort(listed.column("key").to_numpy().view(np.uint64))
     common, times = listed.column("key").to_numpy().view(np.uint64)[order], listed.column("times").to_numpy()[order]
     sent = docs.sparkSession.sparkContext.broadcast((common, times))
-    count = max(LEAST_BUCKETS, total // BUCKET)
+    count, pieces = max(LEAST_BUCKETS, total // BUCKET), HELD
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """node, hashes, asks, and which hashes are common, of a task's distinct sets."""
@@ -277,7 +279,7 @@ def shared(docs: DataFrame, own: DataFrame, width: int, percent: int) -> DataFra
             row["f"] = ((key >> np.uint64(32)) & np.uint64(0x7F)) * np.uint64(2) + asks[~listed]
             held.append((key, row))
             size += len(key)
-            if size > HELD:
+            if size > pieces:
                 yield out()
                 held, size = [], 0
         if held:

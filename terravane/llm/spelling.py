@@ -55,6 +55,8 @@ def run_counts(doc: int | None, text: str, every: int | None) -> Counter[str]:
 def word_counts(docs: DataFrame, least_letters: int = 6, least_count: int = 5, every: int | None = None) -> DataFrame:
     """word, n: the words of that many letters and occurrences in all texts (doc_id, text)."""
 
+    most = HELD
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[str] = Counter()
 
@@ -65,7 +67,7 @@ def word_counts(docs: DataFrame, least_letters: int = 6, least_count: int = 5, e
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 held.update(run_counts(doc, text.as_py() or "", every))
-                if len(held) > HELD:
+                if len(held) > most:
                     yield out()
                     held.clear()
         yield out()

@@ -8,8 +8,8 @@ repeated windows.
 1. The first digit of a suffix is the least hash among the SEED-byte strings of its window. Neighbouring
    suffixes share it, so one record stands for a run of them (35 on average), with a digest of all bytes
    that the run's windows cover. Records are dealt out by digit. A run whose digit occurs nowhere else is
-   done; a run with the digest of an earlier one repeats it as a whole; only the first of each digest goes
-   on, and only if its digit has several digests. Strings that are very common (as in a licence line) are counted
+   done; a run with the digest of an earlier one repeats it as a whole; only the first of each digest (and
+   what rows of the same doc_id have in its place) goes on, and only if its digit has several digests. Strings that are very common (as in a licence line) are counted
    beforehand over all texts and come last in the order of hashes: a window takes one as its digit only if it
    holds no other string, so that a common line in very many surroundings isn't one group.
 2. The bytes of those runs are fetched and dealt out by digit again, and the suffixes are sorted by
@@ -51,6 +51,9 @@ PARTITION = 8 << 20
 #: Times that a string occurs in a piece before it counts as common there, and in all, as a number and as a share of all
 #: bytes; by the share there are 2**22 common strings at most.
 LOCAL, COMMON, SHARE = 3, 20_000, 1 << 22
+#: Of the strings that are rarer in a piece, those with hashes in the lowest quarter (a window's digit nearly always is
+#: there) are counted by one occurrence in so many, so that a line that stands once in every piece is noticed.
+NOTED = 256
 #: Set in the hashes of common strings, so that they come last.
 LAST = np.uint64(1 << 63)
 #: Added to the number of a run that may repeat itself; greater than any number.
@@ -125,6 +128,18 @@ def frequent(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u[n >= LOCAL], n[n >= LOCAL]
 
 
+def noted(buf: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, estimated times) of a random share of the occurrences in buf of strings that aren't known."""
+    if len(buf) < SEED:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x = string_hashes(buf)[1]
+    low = x[x < LAST >> np.uint64(2)]
+    chance = mix(low ^ mix(x[:1] + np.uint64(len(buf)))) % np.uint64(NOTED)
+    u, n = np.unique(low[chance == 0].astype(np.int64), return_counts=True)
+    new = ~np.isin(u, known)
+    return u[new], n[new] * NOTED
+
+
 def common_strings(docs: DataFrame, total: int) -> np.ndarray:
     """Hashes, in order, of the strings that count as common among all texts; which these are never changes the result."""
 
@@ -132,11 +147,13 @@ def common_strings(docs: DataFrame, total: int) -> np.ndarray:
         for b in batches:
             whole = b"".join(bytes_of(b.column(0)))
             for k in range(0, len(whole), PIECE):
-                u, n = frequent(np.frombuffer(whole[k : k + PIECE], np.uint8))
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n.astype(np.int64))], ["h", "n"])
+                buf = np.frombuffer(whole[k : k + PIECE], np.uint8)
+                u, n = frequent(buf)
+                v, m = noted(buf, u)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, v])), pa.array(np.concatenate([n, m]).astype(np.int64))], ["h", "n"])
 
     counted = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return np.sort(np.array([r.h for r in counted.filter(F.col("n") >= max(COMMON, total // SHARE)).select("h").collect()], np.uint64))
+    return np.sort(counted.filter(F.col("n") >= max(COMMON, total // SHARE)).select("h").toArrow().column("h").to_numpy().astype(np.uint64))
 
 
 def last_if_common(x: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -241,7 +258,9 @@ def refined(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     kinds = np.add.reduceat(new_c.astype(np.int64), np.flatnonzero(new_v)) if len(r) else np.zeros(0, np.int64)
     several = kinds[np.cumsum(new_v) - 1] > 1 if len(r) else new_c
     head = np.flatnonzero(new_c)[np.cumsum(new_c) - 1] if len(r) else new_c
-    again, wanted = r[(r["doc"] != r["doc"][head]) | (r["at"] != r["at"][head])], r[new_c & (several | tied)]
+    # Rows that share a doc_id have the same place in common: none repeats the other there, so all of them go on.
+    other = (r["doc"] != r["doc"][head]) | (r["at"] != r["at"][head]) if len(r) else new_c
+    again, wanted = r[other], r[~other & (several | tied)]
     span = np.zeros(len(again), SPAN)
     for k in ("doc", "at", "tag"):
         span[k] = again[k]

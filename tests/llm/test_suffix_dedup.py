@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -61,6 +62,34 @@ def test_many_rows_without_id(spark):
     assert placed.select("__tv_bucket").distinct().count() > 30
 
 
+def test_rows_that_share_an_id_and_a_beginning(spark):
+    r = random.Random(2)
+    make = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    start = make(300)
+    for first, second in ((1, 5), (1, None), (None, None), (9, 5)):
+        compare(spark, [(first, "x" + start + "y"), (second, start + "a"), (second, start + "b")])
+    # Repeated ids and shared beginnings, middles and ends.
+    texts = []
+    parts = [make(r.randint(60, 260)) for _ in range(8)]
+    for k in range(220):
+        texts.append((r.choice([None, k, k % 7, k % 20]), "".join(r.choice(parts) for _ in range(r.randint(1, 3))) + make(r.randint(0, 3))))
+    compare(spark, texts)
+
+
+def test_line_that_stands_once_in_each_piece(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "NOTED", 8)
+    pieces = [np.frombuffer(t.encode(), np.uint8) for _, t in line_in_many_texts(600)]
+    none, times = np.zeros(0, np.int64), Counter()
+    for buf in pieces:
+        assert not len(suffix_dedup.frequent(buf)[0])
+        for h, n in zip(*(x.tolist() for x in suffix_dedup.noted(buf, none))):
+            times[h] += n
+    each = Counter(h for buf in pieces for h in set(suffix_dedup.string_hashes(buf)[1].tolist()))
+    line = [h for h, n in each.items() if n == 600 and h < 1 << 61]
+    assert len(line) > 4 and all(300 < times[h] < 900 for h in line)
+    assert max(times[h] for h in times if each[h] == 1) == 8
+
+
 def line_in_many_texts(n):
     r = random.Random(11)
     make = lambda k: "".join(r.choice("abcdefgh ") for _ in range(k))
