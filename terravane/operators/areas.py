@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravane import fixed, schemas
-from terravane.functions.expr import blank_to, count_of, file_slug, number_of, ordered_distinct, overlaps, ratio_pct, rounded, support_band
-from terravane.operators.small import MOST, theta_join
+from terravane.functions.expr import blank_to, count_of, file_slug, number_of, ratio_pct, rounded, support_band
+from terravane.operators.containing import overlapping
 
 
 def level_column(level: str, strict: bool = False, suffix: str = "") -> str | None:
@@ -77,11 +77,18 @@ def allocation_summary(requests: DataFrame, allocation: DataFrame) -> DataFrame:
         F.col("state_name_2021").alias("state_name"), *(F.col(f"{c}_2021").alias(c) for c in ("sa2_name", "sa3_name", "sa4_name", "gccsa_name")),
         number_of(F.col("area_albers_sqkm")).alias("km2"), "seq",
     )
-    in_order = lambda c: F.array_join(ordered_distinct(F.transform(F.array_sort(F.collect_list(F.struct("seq", c))), lambda x: x[c])), ", ")
-    areas = selections(units).groupBy("level", "area_name", "state").agg(
-        F.count(F.lit(1)).alias("sa2_count"), in_order("sa3_name").alias("sa3_names"), in_order("sa4_name").alias("sa4_names"), in_order("gccsa_name").alias("gccsa_names"),
-        rounded(F.sum("km2"), 2).alias("area_albers_sqkm"), F.min_by("state_name", "seq").alias("first_state"),
-    )
+    # One row per unit and its names before anything is multiplied; then each name of an area once, with its first place.
+    own = ["state_name", "sa2_name", "sa3_name", "sa4_name", "gccsa_name"]
+    flat = selections(units.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), F.sum("km2").alias("km2"), F.min("seq").alias("seq")))
+    area = ["level", "area_name", "state"]
+    named = flat.select(*area, "seq", F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).alias("name")) for c in own[2:]))).alias("x")).filter("x.name <> ''")
+    once = named.groupBy(*area, "x.kind", "x.name").agg(F.min("seq").alias("seq"))
+    in_order = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == c, F.struct("seq", "name")))), lambda x: x["name"]), ", ")
+    names = once.groupBy(*area).agg(*(in_order(c).alias(f"{c}s") for c in own[2:]))
+    sums = flat.groupBy(*area).agg(F.sum("n").alias("sa2_count"), rounded(F.sum("km2"), 2).alias("area_albers_sqkm"), F.min_by("state_name", "seq").alias("first_state"))
+    same = [sums[c].eqNullSafe(names[c]) for c in area]
+    none = lambda c: F.coalesce(names[c], F.lit("")).alias(c)
+    areas = sums.join(names, same, "left").select(*(sums[c] for c in area), "sa2_count", *(none(f"{c}s") for c in own[2:]), "area_albers_sqkm", "first_state")
     wanted = requests.select("request_id", "area_selection.level", "area_selection.area_name", F.nullif("area_selection.state", F.lit("")).alias("wanted_state"))
     joined = wanted.join(areas, ["level", "area_name"]).filter(F.col("wanted_state").eqNullSafe(F.col("state")))
     return joined.select(
@@ -119,7 +126,7 @@ def at_location(rows: DataFrame, location: str | None, column: str = "location")
     return rows.filter(F.lower(column) == location.lower()) if location else rows
 
 
-def first_area(requests: DataFrame, units: DataFrame, most: int = MOST) -> DataFrame:
+def first_area(requests: DataFrame, units: DataFrame) -> DataFrame:
     """request_id, level, area_name, state: the first area whose name contains the location or the reverse.
 
     SA4 goes before SA3 before SA2, then the order of the table; a blank location has none.
@@ -129,18 +136,23 @@ def first_area(requests: DataFrame, units: DataFrame, most: int = MOST) -> DataF
     flat = units.select("seq", F.col("state_name").alias("state"), F.explode(levels).alias("x")).select("seq", "state", "x.*").filter("area_name <> ''")
     # One row per name: the first occurrence decides, so the table shrinks before it meets the requests.
     names = flat.groupBy("level", "area_name").agg(F.min("seq").alias("seq"), F.min_by("state", "seq").alias("state"))
-    asked = requests.select("request_id", F.lower("location").alias("said")).filter("said <> ''")
-    found = theta_join(asked, names, lambda: overlaps(F.col("said"), F.lower("area_name")), most=most)
-    order = F.struct(rank[F.col("level")], F.col("seq"))
-    return found.groupBy("request_id").agg(F.min_by(F.struct("level", "area_name", "state"), order).alias("x")).select("request_id", "x.*")
+    found = names.select(F.lower("area_name").alias("name"), F.struct(rank[F.col("level")].alias("rank"), "seq", "level", "area_name", "state").alias("x"))
+    return _first_overlapping(requests, found).select("request_id", "x.level", "x.area_name", "x.state")
 
 
 def first_location(requests: DataFrame, profiles: DataFrame) -> DataFrame:
     """request_id, matched: the first configured location that contains the request's or the reverse."""
-    asked = requests.select("request_id", F.lower("location").alias("said")).filter("said <> ''")
     names = profiles.groupBy(F.col("location").alias("matched")).agg(F.min("seq").alias("seq"))
-    found = theta_join(asked, names, lambda: overlaps(F.col("said"), F.lower("matched")))
-    return found.groupBy("request_id").agg(F.min_by("matched", "seq").alias("matched"))
+    found = names.select(F.lower("matched").alias("name"), F.struct("seq", "matched").alias("x"))
+    return _first_overlapping(requests, found).select("request_id", "x.matched")
+
+
+def _first_overlapping(requests: DataFrame, names: DataFrame) -> DataFrame:
+    """request_id and the least x of the names (name, x) that contain the location or the reverse; each location is looked up once."""
+    asked = requests.select("request_id", F.lower("location").alias("said")).filter("said <> ''")
+    pairs = overlapping(asked.select(F.col("said").alias("text")).distinct(), names.select(F.col("name").alias("text")).distinct())
+    best = pairs.join(names, F.col("other") == F.col("name")).groupBy("one").agg(F.min("x").alias("x"))
+    return asked.join(best, F.col("said") == F.col("one")).groupBy("request_id").agg(F.min("x").alias("x"))
 
 
 def features_in(collection: DataFrame, level: str, area: str, state: str | None = None) -> DataFrame:

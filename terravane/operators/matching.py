@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravane import fixed
-from terravane.functions.expr import blank_to, has_keyword, ordered_distinct, overlaps
+from terravane.functions.expr import blank_to, ordered_distinct
 from terravane.operators.areas import first_per
-from terravane.operators.small import MOST, theta_join
+from terravane.operators.containing import overlapping
+from terravane.operators.keywords import MOST, owners_found, short_ones
 
 
 def in_order(value: str, seq: str = "seq") -> Column:
@@ -24,15 +25,13 @@ def in_order(value: str, seq: str = "seq") -> Column:
 def matched_rules(requests: DataFrame, rules: DataFrame, mode: str = "substring", most: int = MOST) -> DataFrame:
     """Request and rule pairs: any location keyword in the location or any scenario keyword in the scenario.
 
-    mode "substring" takes keywords anywhere; "boundary" wants short ones to stand alone.
+    mode "substring" takes keywords anywhere; "boundary" wants short ones to stand alone. seq tells rules apart.
     """
     asked = requests.select("request_id", F.lower(F.coalesce("location", F.lit(""))).alias("place"), F.lower(F.coalesce("scenario", F.lit(""))).alias("plan"))
-
-    def hits() -> Column:
-        found = lambda keys, text: F.coalesce(F.exists(keys, lambda k: has_keyword(F.col(text), F.lower(k), mode)), F.lit(False))
-        return found("match.location_keywords", "place") | found("match.scenario_keywords", "plan")
-
-    return theta_join(asked, rules, hits, most=most).drop("place", "plan")
+    lists = F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"match.{k}").alias("keys")) for c, k in (("place", "location_keywords"), ("plan", "scenario_keywords"))))
+    keys = rules.select(F.col("seq").cast("long").alias("owner"), F.explode(lists).alias("x")).select("owner", "x.field", F.explode(F.transform("x.keys", F.lower)).alias("keyword"))
+    found = owners_found(asked, keys.withColumn("alone", short_ones(F.col("keyword"), mode)), most=most)
+    return found.select("request_id", "owner").join(rules, F.col("owner") == F.col("seq")).drop("owner")
 
 
 def risk_context(requests: DataFrame, rules: DataFrame, mode: str = "substring") -> DataFrame:
@@ -62,16 +61,16 @@ def keyword_table(spark: SparkSession, regions: DataFrame | None = None) -> Data
     return own.unionByName(fixed_rows)
 
 
-def resolved_places(requests: DataFrame, keywords: DataFrame) -> DataFrame:
+def resolved_places(requests: DataFrame, keywords: DataFrame, most: int = MOST) -> DataFrame:
     """request_id, locality, state: of the first keyword by tier, then order; city and place names match anywhere."""
     asked = requests.select("request_id", F.lower("location").alias("said"), "location")
-
-    def hits() -> Column:
-        return F.when(F.col("tier") == 2, has_keyword(F.col("said"), F.col("keyword"))).otherwise(has_keyword(F.col("said"), F.col("keyword"), "substring"))
-
-    found = theta_join(asked, keywords, hits)
-    first = found.groupBy("request_id").agg(F.min_by(F.struct("state", "locality"), F.struct("tier", "seq")).alias("x"))
-    joined = asked.join(first, "request_id", "left")
+    # The tier goes before the order in one number.
+    order = (F.col("tier").cast("long") * (1 << 40) + F.col("seq")).alias("owner")
+    alone = (F.col("tier") == 2) & short_ones(F.col("keyword"), "boundary")
+    first = owners_found(asked, keywords.select(F.lit("said").alias("field"), "keyword", alone.alias("alone"), order), first=True, most=most)
+    places = keywords.groupBy(order).agg(F.min(F.struct("state", "locality")).alias("x"))
+    known = first.groupBy("request_id").agg(F.min("owner").alias("owner")).join(places, "owner").select("request_id", "x")
+    joined = asked.join(known, "request_id", "left")
     return joined.select("request_id", F.coalesce("x.locality", "location").alias("locality"), F.coalesce("x.state", F.lit(fixed.DEFAULT_STATE)).alias("state"))
 
 
@@ -110,10 +109,13 @@ def community_matches(profiles: DataFrame, community: DataFrame) -> DataFrame:
     """request_id and the community row: name overlap in order first, then the state's first row for remote scenarios."""
     asked = profiles.select("request_id", F.lower("location").alias("said"), F.lower("state").alias("said_state"), F.lower("scenario").alias("plan"))
     rows = community.select("seq", F.lower("location").alias("name"), F.lower("state").alias("row_state"), F.struct(*community.columns).alias("row"))
-    first = F.min_by("row", F.struct("tier", "seq")).alias("row")
-    near = theta_join(asked.filter("said <> ''"), rows, lambda: overlaps(F.col("said"), F.col("name"))).select("request_id", F.lit(1).alias("tier"), "seq", "row")
+    said = asked.select(F.col("said").alias("text")).filter("text <> ''").distinct()
+    pairs = overlapping(said, rows.select(F.col("name").alias("text")).distinct())
+    best = pairs.join(rows, F.col("other") == F.col("name")).groupBy("one").agg(F.min_by("row", "seq").alias("row"), F.min("seq").alias("seq"))
+    near = asked.join(best, F.col("said") == F.col("one")).select("request_id", F.lit(1).alias("tier"), "seq", "row")
     by_state = rows.groupBy("row_state").agg(F.min_by("row", "seq").alias("row"), F.min("seq").alias("seq"))
-    remote = theta_join(asked.filter(F.contains("plan", F.lit("remote"))), by_state, lambda: F.col("said_state") == F.col("row_state")).select("request_id", F.lit(2).alias("tier"), "seq", "row")
+    remote = asked.filter(F.contains("plan", F.lit("remote"))).join(by_state, F.col("said_state") == F.col("row_state")).select("request_id", F.lit(2).alias("tier"), "seq", "row")
+    first = F.min_by("row", F.struct("tier", "seq")).alias("row")
     return near.unionByName(remote).groupBy("request_id").agg(first).select("request_id", "row.*")
 
 
@@ -145,12 +147,13 @@ def location_terms(location: Column) -> Column:
 def lga_candidates(profiles: DataFrame, lga: DataFrame, most: int = 5) -> DataFrame:
     """request_id, lga_candidates: the first local government areas of the state that share a term with the location.
 
-    The register is broadcast within its checked size, so requests are not shuffled by state; no more than the first
-    areas of a request are gathered.
+    Terms and names meet in an equality join on the state and a group of letters; no more than the first areas of a
+    request are gathered.
     """
     terms = profiles.select("request_id", F.lower("state").alias("s"), F.explode(F.array_distinct(location_terms(F.col("location")))).alias("term"))
-    named = lga.withColumn("lga_state", F.lower("state_name_2021")).withColumn("name", F.lower("lga_name_2025"))
-    hit = theta_join(terms, named, lambda: (F.col("s") == F.col("lga_state")) & overlaps(F.col("term"), F.col("name")))
+    named = lga.withColumn("s", F.lower("state_name_2021")).withColumn("name", F.lower("lga_name_2025"))
+    pairs = overlapping(terms.select("s", F.col("term").alias("text")).distinct(), named.select("s", F.col("name").alias("text")).distinct(), ["s"])
+    hit = terms.join(pairs.select("s", F.col("one").alias("term"), F.col("other").alias("name")), ["s", "term"]).join(named, ["s", "name"])
     shown = F.struct("seq", *(F.col(c) for c in ("lga_code_2025", "lga_name_2025", "state_name_2021", "mesh_block_count", "area_albers_sqkm")), F.lit("lga_2025_summary.csv").alias("source_file"))
     first = first_per(hit.select("request_id", shown.alias("shown")).distinct(), "request_id", most, "shown")
     found = first.groupBy("request_id").agg(F.array_sort(F.collect_list("shown")).alias("x"))

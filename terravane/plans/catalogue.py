@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from terravane import fixed, schemas
 from terravane.functions import lint, text
-from terravane.functions.expr import elapsed_ms, first_error, has_keyword, missing_terms, ordered_distinct, overlaps, slug, support_band, terms_found
+from terravane.functions.expr import elapsed_ms, first_error, missing_terms, ordered_distinct, slug, support_band, terms_found
 from terravane.operators import areas, etl, lineage, matching, sinks
-from terravane.operators.small import theta_join
+from terravane.operators.containing import overlapping
+from terravane.operators.keywords import owners_found
 from terravane.streaming import alerts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,9 +154,9 @@ _KEYWORD_SQL = " UNION ALL ".join(f"SELECT {k} AS rule_no, {q(w)} AS kw" for k,
 
 @query("q08_rule_match", f"WITH r AS ({_KEYWORD_SQL}) SELECT doc_id, rule_no FROM documents JOIN r ON contains(lower(text), kw)")
 def rule_match(spark: SparkSession, d: str) -> DataFrame:
-    rules = spark.createDataFrame([(k, k, w) for k, w in enumerate(KEYWORDS)], "seq long, rule_no int, kw string")
+    rules = spark.createDataFrame([("said", w, False, k) for k, w in enumerate(KEYWORDS)], "field string, keyword string, alone boolean, owner long")
     docs = t(spark, d, "documents").select("doc_id", F.lower("text").alias("said"))
-    return theta_join(docs, rules, lambda: has_keyword(F.col("said"), F.col("kw"), "substring")).select("doc_id", "rule_no")
+    return owners_found(docs, rules).select("doc_id", F.col("owner").cast("int").alias("rule_no"))
 
 
 SOURCE_TAGS = [("national", ["australia"]), ("qld", ["queensland", "qld"]), ("nsw", ["nsw"]), ("one", ["nation_1", "nation_4"]), ("none", ["nowhere"])]
@@ -190,7 +191,9 @@ def bidir_first(spark: SparkSession, d: str) -> DataFrame:
     asked = spark.createDataFrame(NEEDLES, "request_id int, said string")
     named = t(spark, d, "region").select(F.lit(1).alias("tier"), F.col("r_regionkey").alias("seq"), F.col("r_name").alias("name"))
     named = named.unionByName(t(spark, d, "nation").select(F.lit(2).alias("tier"), F.col("n_nationkey").alias("seq"), F.col("n_name").alias("name")))
-    hit = theta_join(asked, named, lambda: overlaps(F.col("said"), F.lower("name")))
+    low = named.withColumn("other", F.lower("name"))
+    pairs = overlapping(asked.select(F.col("said").alias("text")).distinct(), low.select(F.col("other").alias("text")).distinct())
+    hit = asked.join(pairs, F.col("said") == F.col("one")).join(low, "other")
     return hit.groupBy("request_id").agg(F.min_by(F.struct("tier", "name"), F.struct("tier", "seq")).alias("x")).select("request_id", "x.*")
 
 
@@ -214,12 +217,33 @@ _TIER_SQL = " UNION ALL ".join(f"SELECT {a} AS tier, {b} AS ord, {q(k)} AS kw, {
     SELECT c.c_custkey, coalesce(m.state, 'Australia') AS state FROM c LEFT JOIN m USING (c_custkey)""",
 )
 def tiered_resolve(spark: SparkSession, d: str) -> DataFrame:
-    k = spark.createDataFrame([(i, *row) for i, row in enumerate(TIERS)], "seq long, tier int, ord int, kw string, state string")
+    k = spark.createDataFrame([("said", w, len(w) <= 3, i, s) for i, (_, _, w, s) in enumerate(sorted(TIERS))], "field string, keyword string, alone boolean, owner long, state string")
     c = t(spark, d, "customer").select("c_custkey", F.lower("c_name").alias("said"))
-    hit = theta_join(c, k, lambda: has_keyword(F.col("said"), F.col("kw"))).groupBy("c_custkey").agg(F.min_by("state", F.struct("tier", "ord")).alias("state"))
+    hit = owners_found(c, k.drop("state"), first=True).select("c_custkey", "owner").join(k, "owner").select("c_custkey", "state")
     return c.select("c_custkey").join(hit, "c_custkey", "left").select("c_custkey", F.coalesce("state", F.lit(fixed.DEFAULT_STATE)).alias("state"))
 
 
+_PLACE_SQL = " UNION ALL ".join(
+    [f"SELECT {tier} AS tier, {k} AS ord, {q(w)} AS kw, {q(s)} AS state, NULL AS locality" for tier, table in ((2, fixed.STATE_KEYWORDS), (3, fixed.CITY_KEYWORDS)) for k, (s, w) in enumerate((s, w) for s, ws in table.items() for w in ws)]
+)
+
+
+@query(
+    "q48_resolved_places",
+    f"""WITH k AS (SELECT 1 AS tier, n_nationkey AS ord, lower(n_name) AS kw, r_name AS state, n_name AS locality FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0 UNION ALL {_PLACE_SQL}),
+    c AS (SELECT c_custkey AS request_id, CASE c_custkey % 5 WHEN 0 THEN 'Perth, WA' WHEN 1 THEN 'wattle act' WHEN 2 THEN 'near ' || n_name ELSE c_name || ' Hobart' END AS location FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    m AS (SELECT request_id, arg_min(state, tier * 1000 + ord) AS state, min(tier * 1000 + ord) AS o FROM c JOIN k ON CASE WHEN tier = 2 AND length(kw) <= 3 THEN regexp_matches(lower(location), '(^|[^a-z])' || kw || '([^a-z]|$)') ELSE contains(lower(location), kw) END GROUP BY request_id)
+    SELECT c.request_id, coalesce(k.locality, c.location) AS locality, coalesce(m.state, {q(fixed.DEFAULT_STATE)}) AS state FROM c LEFT JOIN m USING (request_id) LEFT JOIN (SELECT DISTINCT tier * 1000 + ord AS o, locality FROM k) k USING (o)""",
+)
+def resolved_places(spark: SparkSession, d: str) -> DataFrame:
+    """The place and state of each request: configured places, then states, then cities."""
+    n = t(spark, d, "nation").join(F.broadcast(t(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    regions = n.filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("long").alias("seq"), F.col("n_name").alias("location"), F.col("r_name").alias("state"))
+    no = F.col("c_custkey")
+    said = F.when(no % 5 == 0, "Perth, WA").when(no % 5 == 1, "wattle act").when(no % 5 == 2, F.concat(F.lit("near "), "n_name")).otherwise(F.concat("c_name", F.lit(" Hobart")))
+    return matching.resolved_places(units(spark, d).select(no.alias("request_id"), said.alias("location")), matching.keyword_table(spark, regions))
+
+
 @query(
     "q13_ordered_union",
     "WITH x AS (SELECT conv_id, role, min(turn) AS o FROM conversations WHERE role IS NOT NULL AND role <> '' GROUP BY conv_id, role) SELECT conv_id, string_agg(role, ', ' ORDER BY o, role) AS roles FROM x GROUP BY conv_id",

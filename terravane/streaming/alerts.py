@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravane.functions.expr import any_contains
-from terravane.operators.small import MOST
+from terravane.operators.keywords import MOST, owners_found
 
 
 def _timed(events: DataFrame, late: str) -> DataFrame:
@@ -29,16 +29,20 @@ def keyword_alerts(events: DataFrame, keywords: Sequence[str], column: str = "ev
     return events.filter(any_contains(F.lower(column), keywords))
 
 
-def rule_alerts(events: DataFrame, rules: DataFrame, column: str = "event_type") -> DataFrame:
-    """(event_id, rule_id) by keyword lists of rules (id, keywords).
+def rule_alerts(events: DataFrame, rules: DataFrame, column: str = "event_type", most: int = MOST) -> DataFrame:
+    """(event_id, rule_id) by keyword lists of rules (id, keywords): one pass over each event for all rules.
 
-    Every micro-batch joins all rules, so they must be few enough to broadcast; more than MOST are refused, not cut.
-    Tables of more rules are matched in batches, by matching.matched_rules().
+    Every micro-batch carries the rules' keywords, so these are held in one automaton; registers of more letters are
+    refused, not cut. Tables of more rules are matched in batches, by matching.matched_rules().
     """
-    if rules.limit(MOST + 1).count() > MOST:
-        raise ValueError(f"more than {MOST} rules; match them in batches")
-    hit = F.exists("keywords", lambda k: F.contains(F.lower(F.col(column)), F.lower(k)))
-    return events.join(F.broadcast(rules), hit).select("event_id", F.col("id").alias("rule_id"))
+    keys = rules.select("id", F.explode(F.transform("keywords", F.lower)).alias("keyword")).filter("keyword <> ''")
+    if (keys.agg(F.sum(F.length("keyword"))).first()[0] or 0) > most:
+        raise ValueError(f"keywords of more than {most} letters; match them in batches")
+    ids = keys.select("id").distinct().collect()  # within the checked size
+    known = events.sparkSession.createDataFrame([(k, *r) for k, r in enumerate(ids)], f"owner long, id {keys.schema['id'].dataType.simpleString()}")
+    said = events.select("event_id", F.lower(F.col(column)).alias("said"))
+    owned = keys.join(known, "id").select(F.lit("said").alias("field"), "keyword", F.lit(False).alias("alone"), "owner")
+    return owners_found(said, owned, most=most).join(F.broadcast(known), "owner").select("event_id", F.col("id").alias("rule_id"))
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from terravane import fixed, schemas
 from terravane.operators import areas, etl, lineage, matching, validation
-from terravane.operators.small import theta_join
 from terravane.plans import analysis
 
 
@@ -60,8 +59,6 @@ def test_first_area(spark, t):
     r = spark.createDataFrame([(1, "near cairns"), (2, "wagga"), (3, ""), (4, "central"), (5, "zzz")], "request_id long, location string")
     got = {x.request_id: (x.level, x.area_name, x.state) for x in areas.first_area(r, t["units"]).collect()}
     assert got == {1: ("SA4", "Cairns", "Queensland"), 2: ("SA3", "Wagga Wagga", "New South Wales"), 4: ("SA2", "Central", "New South Wales")}
-    blocks = {x.request_id: x.area_name for x in areas.first_area(r, t["units"], most=2).collect()}
-    assert blocks == {k: v[1] for k, v in got.items()}
     assert {x.request_id: x.matched for x in areas.first_location(r, t["community"]).collect()} == {1: "Cairns"}
 
 
@@ -189,15 +186,6 @@ def test_validation(spark):
     assert [x[0] is not None for x in s.select(validation.geography_error(F.col("a"), F.col("b"))).collect()] == [True, False, False, False]
 
 
-@pytest.mark.parametrize("most", [3, 7, 1000])
-def test_theta_join_is_alike_at_every_size(spark, most):
-    """Null, negative, sparse and repeated keys take part, whether the dimension is taken whole or in blocks."""
-    keys = [None, None, -5, 0, 1, 1, 3, 2**40, 2**33 + 1, *range(10, 30)]
-    left, right = spark.range(50).select(F.col("id").alias("a")), spark.createDataFrame([(k, f"x{n % 7}") for n, k in enumerate(keys)], "seq long, word string")
-    got = sorted((r.a, str(r.seq), r.word) for r in theta_join(left, right, lambda: F.concat(F.lit("x"), F.col("a") % 7) == F.col("word"), most=most).collect())
-    assert got == sorted((a, str(k), f"x{n % 7}") for a in range(50) for n, k in enumerate(keys) if a % 7 == n % 7)
-
-
 def test_prompts_with_a_template(spark, t):
     registers = analysis.Registers(t["rules"], t["sources"], t["regions"], t["community"], t["units"], t["allocation"], t["lga"])
     analysed = analysis.analyse(requests(spark).filter("request_id = 1"), registers)
