@@ -52,9 +52,12 @@ def checklist_complete(values: Column) -> Column:
     return (F.coalesce(F.size(values), F.lit(0)) > 0) & F.coalesce(F.forall(values, lambda v: v), F.lit(False))
 
 
+def probe_measures() -> dict[str, Column]:
+    """total, reachable and failed, as aggregates: of a grouping, or of a write that happens anyway (sinks.observed)."""
+    return {"total": F.count(F.lit(1)), "reachable": F.count_if(F.col("status") == "Reachable"), "failed": F.count_if(F.col("status") == "Check failed")}
+
+
 def probe_summary(probes: DataFrame, *by: str) -> DataFrame:
     """total, reachable, failed and the rest as warnings."""
-    grouped = probes.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "Reachable").alias("reachable"), F.count_if(F.col("status") == "Check failed").alias("failed")
-    )
+    grouped = probes.groupBy(*by).agg(*(c.alias(k) for k, c in probe_measures().items()))
     return grouped.withColumn("warnings", F.col("total") - F.col("reachable") - F.col("failed"))

@@ -7,16 +7,24 @@ import json
 import zipfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from terravane.functions.expr import blank_to, file_slug
 
 
-def write_csv(rows: DataFrame, path: str, columns: Sequence[str], one_file: bool = False) -> None:
-    """Fixed columns in order, header in each file; one_file is for registers, whose size is fixed."""
-    picked = rows.select(*columns)
+def observed(rows: DataFrame, **measures: Column) -> tuple[DataFrame, Observation]:
+    """rows, and what is measured of them while they are written, without another scan: their number, unless other measures are given."""
+    seen = Observation()
+    wanted = measures or {"rows": F.count(F.lit(1))}
+    return rows.observe(seen, *(c.alias(k) for k, c in wanted.items())), seen
+
+
+def write_csv(rows: DataFrame, path: str, columns: Sequence[str], one_file: bool = False) -> int:
+    """Fixed columns in order, header in each file; one_file is for registers, whose size is fixed. Returns the number of rows."""
+    picked, seen = observed(rows.select(*columns))
     (picked.coalesce(1) if one_file else picked).write.mode("overwrite").options(header=True, escape='"', emptyValue="").csv(path)
+    return seen.get["rows"]
 
 
 def stamped(rows: DataFrame, **stamps: Column | str) -> DataFrame:
@@ -30,11 +38,16 @@ def in_parts(rows: DataFrame, key: str, most: int, *content: str) -> DataFrame:
     return rows.join(parts, key).withColumn("__part", F.pmod(F.xxhash64(*content), F.col("__parts"))).drop("__parts")
 
 
-def write_features_by_state(features: DataFrame, path: str, state: str = "state_name_2021", most: int = 100_000) -> None:
-    """One folder per state, "Unknown" without one, a JSON feature per line, `most` or so to a task; readers prune by state_slug."""
+def write_features_by_state(features: DataFrame, path: str, state: str = "state_name_2021", most: int = 100_000) -> int:
+    """One folder per state, "Unknown" without one, a JSON feature per line, `most` or so to a task; readers prune by state_slug.
+
+    Returns the number of features.
+    """
     keyed = features.withColumn("state_slug", file_slug(blank_to(F.col(state), "Unknown")))
     dealt = in_parts(keyed, "state_slug", most, *features.columns)
-    dealt.repartition("state_slug", "__part").drop("__part").write.mode("overwrite").partitionBy("state_slug").json(path)
+    placed, seen = observed(dealt.repartition("state_slug", "__part").drop("__part"))
+    placed.write.mode("overwrite").partitionBy("state_slug").json(path)
+    return seen.get["rows"]
 
 
 def collections(features: DataFrame, feature: str, state: str = "state", most: int = 10_000) -> DataFrame:
@@ -45,14 +58,18 @@ def collections(features: DataFrame, feature: str, state: str = "state", most: i
     )
 
 
-def append_audit(audits: DataFrame, path: str, created_at: Column) -> None:
-    """Adds to the log, by day; nothing that is there is touched."""
+def append_audit(audits: DataFrame, path: str, created_at: Column) -> int:
+    """Adds to the log, by day; nothing that is there is touched. Returns the number of audits."""
     dated = audits.withColumns({"created_at": created_at, "audit_schema": F.lit("audit-v1")}).withColumn("dt", F.to_date("created_at"))
+    dated, seen = observed(dated)
     dated.write.mode("append").partitionBy("dt").json(path)
+    return seen.get["rows"]
 
 
-def write_text(rows: DataFrame, path: str, column: str = "text") -> None:
-    rows.select(column).write.mode("overwrite").text(path)
+def write_text(rows: DataFrame, path: str, column: str = "text") -> int:
+    texts, seen = observed(rows.select(column))
+    texts.write.mode("overwrite").text(path)
+    return seen.get["rows"]
 
 
 def manifest(members: dict[str, str | None]) -> list[dict[str, object]]:
