@@ -9,12 +9,15 @@ side (2). So sets leave the hashes of all segments, and of their large segments
 and get 0 first, in exchange for large ones that get 2; what is common is counted over all texts.
 
 1. Equal sets are one node. Occurrences of segments are counted, and those of common ones listed (2**20 at most).
-2. Hashes are dealt out, packed, in buckets; those of common segments travel as rows, whose groups Spark aggregates and splits.
-   What stays are groups of nodes that share a hash, one of them asking.
-3. Each node is compared with one of its groups' first nodes, with which it shares most hashes. Links found join most of
-   what belongs together.
-4. Groups that still hold several components are gone through in tiles: pairs across components whose histograms of hashes allow
-   the similarity (a bound on the intersection) are compared. No pair within a component needs to be.
+2. Hashes are dealt out, packed, in buckets; those of common segments by node, so that they aren't gathered: their groups are
+   aggregated and split by Spark. What stays are groups of nodes that share a hash, one of them asking.
+3. A group's centre is its node with the largest groups (the text of which others are copies has all its segments in common).
+   Each node is compared with the centre with which it shares most hashes.
+4. Groups that still hold several components are gone through in tiles, those that mostly belong to one component
+   together, so that a node isn't sent once per hash. Pairs across components are told off by bitmaps of their hashes: each bit in which
+   they differ is an element in which the sets differ. First each node is compared with its nearest, which joins
+   nearly all that belongs together, then what is left is gone through once more, with all pairs that the bitmaps allow. No pair within a
+   component needs to be.
 5. Links are closed into components.
 
 Equality is that of 64-bit hashes of words and shingles (and nodes are told apart by such: n sets collide with a probability of n^2 / 2^65).
@@ -52,10 +55,11 @@ LOCAL, COMMON, SHARE = 6, 1000, 1 << 20
 DEAR = 32
 #: Hashes of a bucket, buckets of a partition, and the least number of buckets.
 BUCKET, TOGETHER, LEAST_BUCKETS = 160_000, 4, 32
-#: Nodes that are compared with one copy of a first node, nodes of a tile's side, and shingles of a bucket of texts.
-BLOCK, TILE, SHINGLES = 256, 1024, 250_000
+#: Nodes that are compared with one copy of a centre, nodes of a tile's side, and shingles of a bucket of texts.
+BLOCK, TILE, SHINGLES = 256, 2048, 250_000
 
 ROW = np.dtype([("k", "<u4"), ("f", "u1"), ("node", "<i8")])
+OFTEN = np.dtype([("key", "<i8"), ("node", "<i8"), ("asks", "u1")])
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -85,8 +89,15 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     k = min(width, len(w))
     h = np.full(len(w) - k + 1, k, np.uint64)
     for i in range(k):
-        h = mix(h * GOLD + w[i : len(w) - k + 1 + i])
-    return np.unique(h)
+        h = h * GOLD + w[i : len(w) - k + 1 + i]  # word hashes are mixed
+    return distinct(mix(h))
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
 
 
 def node_of(s: np.ndarray) -> int:
@@ -138,7 +149,10 @@ def allotted(size: np.ndarray, cost: np.ndarray, need: int, large: int) -> np.nd
     order = np.lexsort((size, -cost))  # dearest first, of equals the smallest
     spare = len(size) - need
     give[order[:spare]] = 0
-    dear = [i for i in order[spare:] if cost[i] > DEAR]
+    dear = order[spare:]
+    dear = dear[cost[dear] > DEAR]
+    if not len(dear):
+        return give
     able = [i for i in order[::-1] if size[i] >= large and give[i] and cost[i] <= DEAR]
     able.sort(key=lambda i: size[i])
     for i, j in zip(dear, able):
@@ -174,27 +188,54 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def histogram(s: np.ndarray) -> bytes:
-    """Elements by the last bits of their hashes; about as many cells as a quarter of the elements, 4096 at most."""
-    cells = 1 << min(12, max(4, (len(s) // 4).bit_length()))
-    return np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype("<u4").tobytes()
+def bitmap(s: np.ndarray) -> bytes:
+    """Which last bits of hashes occur; four to eight bits an element, 2**17 at most."""
+    bits = 1 << min(17, max(6, (4 * len(s) - 1).bit_length()))
+    there = np.zeros(bits, bool)
+    there[(s & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(there, bitorder="little").tobytes()
+
+
+def folded(held: list[bytes]) -> np.ndarray:
+    """Bitmaps of different sizes as rows of the smallest one's."""
+    size = min(map(len, held))
+    low = np.array([np.bitwise_or.reduce(np.frombuffer(h, np.uint8).reshape(-1, size), axis=0) for h in held])
+    return np.ascontiguousarray(low).view(np.uint64)
 
 
-def tile_pairs(label: np.ndarray, asks: np.ndarray, block: np.ndarray, size: np.ndarray, held: list[bytes], percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, later ones) across components, one of the two asking, whose histograms allow the similarity."""
-    cells = min(len(h) for h in held) // 4
-    low = np.array([np.frombuffer(h, "<u4").reshape(-1, cells).sum(axis=0, dtype=np.int64) for h in held])
+def tile_pairs(label: np.ndarray, asks: np.ndarray, block: np.ndarray, size: np.ndarray, held: list[bytes], percent: int, nearest: bool) -> set[tuple[int, int]]:
+    """Places of two nodes across components, one asking, whose bitmaps allow the similarity; nearest: of each node the closest one."""
     apart = block.min() != block.max()
-    for i in range(len(label) - 1):
-        j = np.arange(i + 1, len(label))
-        j = j[(label[j] != label[i]) & (asks[j] | asks[i]) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))]
-        if apart:
-            j = j[block[j] != block[i]]
-        if len(j):
-            both = np.minimum(low[j], low[i]).sum(axis=1)
-            j = j[(100 + percent) * both >= percent * (size[j] + size[i])]
-            if len(j):
-                yield i, j
+    band = np.array([band_of(int(x))[0] for x in size])
+    best, whom = np.full(len(size), np.iinfo(np.int64).max), np.full(len(size), -1)
+    found = set()
+    for b in np.unique(band):
+        part = np.flatnonzero((band >= b) & (band <= b + 1))  # sizes of one or of neighbouring bands
+        low = folded([held[k] for k in part.tolist()])
+        for x in np.flatnonzero(band[part] == b):
+            i = part[x]
+            y = np.flatnonzero((band[part] > b) | (part > i))
+            j = part[y]
+            fits = (label[j] != label[i]) & (asks[j] | asks[i]) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))
+            if apart:
+                fits &= block[j] != block[i]
+            y, j = y[fits], j[fits]
+            if not len(j):
+                continue
+            differ = np.bitwise_count(low[y] ^ low[x]).sum(axis=1, dtype=np.int64)
+            fits = (100 + percent) * differ <= (100 - percent) * (size[j] + size[i])
+            j, differ = j[fits], differ[fits]
+            if not len(j):
+                continue
+            if not nearest:
+                found.update((int(i), k) for k in j.tolist())
+                continue
+            closer = differ < best[j]
+            best[j[closer]], whom[j[closer]] = differ[closer], i
+            k = int(differ.argmin())
+            if differ[k] < best[i]:
+                best[i], whom[i] = differ[k], j[k]
+    return found | {(k, int(whom[k])) for k in np.flatnonzero(whom >= 0).tolist()}
 
 
 def sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -263,57 +304,60 @@ def shared(docs: DataFrame, own: DataFrame, width: int, percent: int) -> DataFra
                     listed = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys if len(known) else np.zeros(len(keys), bool)
                     yield node, keys, asks, listed
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare: list[tuple[np.ndarray, np.ndarray]] = []
+        often: list[np.ndarray] = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            key, row = (np.concatenate(x) for x in zip(*held))
-            cells = [(k, pack(row[part])) for k, part in by_bucket(row, (key >> np.uint64(40)).astype(np.int64) % count)]
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in cells], pa.int32()), pa.array([x for _, x in cells], pa.binary())], ["bucket", "body"])
+            key, row = (np.concatenate(x) for x in zip(*rare))
+            cells = [(k, pack(row[part]), None) for k, part in by_bucket(row, (key >> np.uint64(40)).astype(np.int64) % count)]
+            r = np.concatenate(often)
+            cells += [(k, None, pack(r[part])) for k, part in by_bucket(r, np.mod(r["node"], count))]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in cells], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["bucket", "rare", "often"])
 
         for node, keys, asks, listed in each(batches):
-            row = np.zeros(int((~listed).sum()), ROW)
             key = keys[~listed]
+            row = np.zeros(len(key), ROW)
             row["k"], row["node"] = key & np.uint64(0xFFFFFFFF), node
             row["f"] = ((key >> np.uint64(32)) & np.uint64(0x7F)) * np.uint64(2) + asks[~listed]
-            held.append((key, row))
-            size += len(key)
+            more = np.zeros(len(keys) - len(key), OFTEN)
+            more["key"], more["node"], more["asks"] = (keys[listed] | np.uint64(1 << 63)).view(np.int64), node, asks[listed]
+            rare.append((key, row))
+            often.append(more)
+            size += len(keys)
             if size > pieces:
                 yield out()
-                held, size = [], 0
-        if held:
+                rare, often, size = [], [], 0
+        if rare:
             yield out()
 
     def group(t: pa.Table) -> pa.Table:
         bucket = t.column("bucket")[0].as_py()
-        r = np.concatenate([unpack(x.as_py(), ROW) for x in t.column("body")])
+        r = np.concatenate([np.zeros(0, ROW), *(unpack(x, ROW) for x in t.column("rare").to_pylist() if x)])
         key = (r["f"] >> 1).astype(np.int64) << 32 | r["k"]
         order = np.lexsort((r["node"], key))
         key, node, asks = key[order], r["node"][order], (r["f"][order] & 1).astype(bool)
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        at = np.flatnonzero(new)
-        key, node, asks = key[at], node[at], np.logical_or.reduceat(asks, at)
-        first = np.ones(len(key), bool)
-        first[1:] = key[1:] != key[:-1]
-        at, of = np.flatnonzero(first), np.cumsum(first) - 1
-        keep = ((np.diff(at, append=len(key)) > 1) & np.logical_or.reduceat(asks, at))[of]
-        return pa.table({"key": (key[keep] | np.int64(bucket) << 39), "node": node[keep], "asks": asks[keep]})
-
-    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, keys, asks, listed in each(batches):
-            key = (keys[listed] | np.uint64(1 << 63)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), node, np.int64)), pa.array(asks[listed])], ["key", "node", "asks"])
-
-    texts = docs.select("text")
-    dealt = texts.mapInArrow(rare, "bucket int, body binary").repartition(max(8, count // TOGETHER), "bucket")
-    few = dealt.groupBy("bucket").applyInArrow(group, "key long, node long, asks boolean")
-    if not len(common):
-        return few
-    many = stored(texts.mapInArrow(often, "key long, node long, asks boolean").groupBy("key", "node").agg(F.max("asks").alias("asks")), "common")
+        if len(key):
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+            at = np.flatnonzero(new)
+            key, node, asks = key[at], node[at], np.logical_or.reduceat(asks, at)
+            first = np.ones(len(key), bool)
+            first[1:] = key[1:] != key[:-1]
+            at, of = np.flatnonzero(first), np.cumsum(first) - 1
+            keep = ((np.diff(at, append=len(key)) > 1) & np.logical_or.reduceat(asks, at))[of]
+            key, node, asks = key[keep] | np.int64(bucket) << 39, node[keep], asks[keep]
+        o = np.concatenate([np.zeros(0, OFTEN), *(unpack(x, OFTEN) for x in t.column("often").to_pylist() if x)])
+        o = np.unique(o)  # exact copies, told of by several tasks
+        common = np.arange(len(key) + len(o)) >= len(key)
+        return pa.table({"key": np.concatenate([key, o["key"]]), "node": np.concatenate([node, o["node"]]), "asks": np.concatenate([asks, o["asks"].astype(bool)]), "common": common})
+
+    dealt = docs.select("text").mapInArrow(deal, "bucket int, rare binary, often binary").repartition(max(8, count // TOGETHER), "bucket")
+    met = stored(dealt.groupBy("bucket").applyInArrow(group, "key long, node long, asks boolean, common boolean"), "met")
+    many = met.filter("common").drop("common")
     live = many.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("asks").alias("any")).filter("low < high and any").select("key")
-    return few.unionByName(many.join(F.broadcast(live), "key"))  # SHARE keys at most
+    return met.filter("not common").drop("common").unionByName(many.join(F.broadcast(live), "key"))  # SHARE keys at most
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -345,30 +389,43 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, pe
     return full.repartition(max(8, count // TOGETHER), "bucket").groupBy("bucket").applyInArrow(compare, "a long, b long")
 
 
-def across(groups: DataFrame, label: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b: pairs of a group across components that may be similar."""
+def centres(groups: DataFrame) -> DataFrame:
+    """a, b: each node b with the centre of its groups with which it shares most hashes."""
+    sizes = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    weight = groups.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("weight"))
+    centre = groups.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("centre"))
+    meets = groups.join(centre, "key").filter("node <> centre").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("times"))
+    best = meets.groupBy("node").agg(F.max(F.struct("times", "centre"))["centre"].alias("a"))
+    return best.select("a", F.col("node").alias("b"))
+
+
+def across(groups: DataFrame, label: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int, nearest: bool) -> DataFrame:
+    """a, b: pairs of a group across components that may be similar; nearest: for each node only the closest one."""
     told = groups.join(label, "node", "left").select("key", "node", "asks", F.coalesce("label", "node").alias("label"))
-    live = told.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("asks").alias("any"), F.ceil(F.count(F.lit(1)) / TILE).alias("blocks"))
-    left = cut(told.join(live.filter("low < high and any").select("key", "blocks"), "key"))
+    parts = told.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.max("asks").alias("any"))
+    live = parts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"), F.max("any").alias("any")).filter("labels > 1 and any")
+    mostly = F.when(2 * F.col("top.n") >= F.col("n"), F.xxhash64("top.label", F.lit(1))).otherwise(F.xxhash64("key", F.lit(2)))
+    left = cut(told.join(live.select("key", mostly.alias("unit")), "key").groupBy("unit", "node", "label").agg(F.max("asks").alias("asks")))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([histogram(shingles(t.as_py(), width)) for t in b.column(1)], pa.binary())], ["node", "held"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bitmap(shingles(t.as_py(), width)) for t in b.column(1)], pa.binary())], ["node", "held"])
 
     there = cut(left.select("node").distinct().join(nodes, "node"))
-    held = stored(texts_of(docs, there.select("node", "doc", "tag")).mapInArrow(sketch, "node long, held binary").join(there.select("node", "n"), "node"), "histograms")
-    placed = left.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = placed.select("node", "label", "asks", "block", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"))
-    count = max(LEAST_BUCKETS, placed.count() // (4 * TILE))
+    held = stored(texts_of(docs, there.select("node", "doc", "tag")).mapInArrow(sketch, "node long, held binary").join(there.select("node", "n"), "node"), "bitmaps")
+    blocks = left.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("blocks"))
+    placed = left.join(blocks, "unit").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = placed.select("node", "label", "asks", "block", F.xxhash64("unit", F.least("block", "other"), F.greatest("block", "other")).alias("tile"))
+    count = max(LEAST_BUCKETS, placed.count() // TILE)
 
     def pairs(t: pa.Table) -> pa.Table:
         node, label, asks, block, tile, size = (t.column(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "asks", "block", "tile", "n"))
         found = set()
         for _, part in by_bucket(tile, tile):
             bodies = t.column("held").take(pa.array(part)).to_pylist()
-            for i, later in tile_pairs(label[part], asks[part].astype(bool), block[part], size[part], bodies, percent):
-                x = int(node[part[i]])
-                found.update((min(x, y), max(x, y)) for y in node[part[later]].tolist())
+            for i, j in tile_pairs(label[part], asks[part].astype(bool), block[part], size[part], bodies, percent, nearest):
+                x, y = int(node[part[i]]), int(node[part[j]])
+                found.add((min(x, y), max(x, y)))
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     full = placed.join(held, "node").withColumn("bucket", F.pmod("tile", F.lit(count)))
@@ -381,14 +438,14 @@ def links(docs: DataFrame, own: DataFrame, width: int = 5, percent: int = 80) ->
     nodes = own.filter("n > 0").groupBy("node").agg(least, F.max("n").alias("n")).select("node", "least.doc", "least.tag", "n")
     nodes = stored(nodes, "nodes")
     groups = stored(shared(docs, own, width, percent), "groups")
-    first = groups.groupBy("key").agg(F.min("node").alias("low"))
-    meets = groups.join(first, "key").filter("node <> low").groupBy("node", "low").agg(F.count(F.lit(1)).alias("times"))
-    best = meets.groupBy("node").agg(F.min(F.struct((-F.col("times")).alias("less"), "low"))["low"].alias("a")).select("a", F.col("node").alias("b"))
-    near = cut(verified(cut(best), docs, nodes, width, percent))
-    label = components(near)
-    more = verified(cut(across(groups, label, docs, nodes, width, percent)), docs, nodes, width, percent)
-    more = cut(more)
-    return label if more.isEmpty() else components(near.union(more))
+    known = cut(verified(cut(centres(groups)), docs, nodes, width, percent))
+    label = components(known)
+    for nearest in (True, False):
+        more = cut(verified(cut(across(groups, label, docs, nodes, width, percent, nearest)), docs, nodes, width, percent))
+        if not more.isEmpty():
+            known = known.union(more)
+            label = components(known)
+    return label
 
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

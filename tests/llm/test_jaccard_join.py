@@ -91,7 +91,7 @@ def test_allotted():
         assert (give == 2).sum() <= (give == 0).sum()
 
 
-def test_words_and_histograms(monkeypatch):
+def test_words(monkeypatch):
     text = " ".join(f"Wort{k % 700}é" for k in range(3000)) + "  \x0b ende"
     whole = jj.word_hashes(text)
     assert len(whole) == 3001 and len(np.unique(whole)) == 701
@@ -102,6 +102,26 @@ def test_words_and_histograms(monkeypatch):
     assert jj.shingles("a b c d") != jj.shingles("a b c d e")
 
 
+def test_bitmaps_never_tell_off_a_similar_pair():
+    r = random.Random(6)
+    held, sets = [], []
+    for k in range(40):
+        s = {r.getrandbits(64) for _ in range(r.choice([1, 3, 40, 55, 300]))} if k % 4 == 0 else set(sets[-1])
+        for _ in range(r.randrange(0, 1 + len(s) // 6)):
+            s = s - {r.choice(sorted(s))} | {r.getrandbits(64)}
+        sets.append(s)
+        held.append(jj.bitmap(np.array(sorted(s), np.uint64)))
+    every = lambda x: np.full(40, x)
+    size = np.array([len(s) for s in sets])
+    for blocks in (every(0), np.arange(40) % 2):
+        found = {tuple(sorted(p)) for p in jj.tile_pairs(np.arange(40), every(True), blocks, size, held, 80, False)}
+        alike = {(i, j) for j in range(40) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and (blocks[i] != blocks[j] or not blocks.any())}
+        assert alike and alike <= found
+        near = {tuple(sorted(p)) for p in jj.tile_pairs(np.arange(40), every(True), blocks, size, held, 80, True)}
+        assert near <= found and {x for p in near for x in p} == {x for p in found for x in p} and len(near) <= 40
+    assert not jj.tile_pairs(every(1), every(True), every(0), size, held, 80, False) and not jj.tile_pairs(np.arange(40), every(False), every(0), size, held, 80, False)
+
+
 def test_odd_rows_and_small_limits(spark, monkeypatch):
     r = random.Random(3)
     rows = list(ODD)
