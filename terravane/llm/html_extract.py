@@ -29,7 +29,8 @@ from .common import ascii_lower, cut
 #: Elements whose content is no markup.
 RAW = "script|style|noscript|template|title|textarea|iframe|xmp|noembed|noframes"
 #: No part of it goes back over what it has passed, and a tag ends before the next "<", so that reading takes a time in proportion to the page.
-ATTRS = r"(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+"
+#: Quotes count only where a value begins, as in browsers.
+ATTRS = r"(?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^<>])*+"
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>]){ATTRS}>.*?(?:</(?P=raw)\s*+>|\Z)"
     rf"|<(?P<end>/?)(?P<tag>[a-z][^\s/<>]*+)(?P<attrs>{ATTRS})>|<[!?/][^>]*+(?:>|\Z)",
@@ -56,6 +57,8 @@ ASIDE_WORD = re.compile(
     r"subscribe|subscription|tags|teasers?|toolbar|widgets?)\d*",
     re.I,
 )
+#: Elements within a line of text that such names take out of it, as the others are too common in articles' own links.
+LINE_ASIDE, LINE_WORD = frozenset("del ins small span".split()), re.compile(r"(?:ads?|adsby\w+|adv|advert\w*|adsense|sponsor\w*|promos?|promotion)\d*", re.I)
 #: Words behind such a word in one name, as in "share-buttons"; and words that say the element only stands beside one.
 ASIDE_PART = frozenset("area banner bar block blocks body box button buttons buttonset container content form group holder inner item items link links list outer panel policy posts row section slot unit widget wrap wrapper".split())
 BESIDE = frozenset("free has no not with without".split())
@@ -64,12 +67,12 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HOT, HOT_PATH = 2000, 2000
 
 
-def is_aside(name: str) -> bool:
+def is_aside(name: str, word: re.Pattern[str] = ASIDE_WORD) -> bool:
     """Whether a class or id names something beside the article: its last word does, or its first one with a general word last."""
     words = [w for w in re.split(r"[-_:]+", name.lower()) if w and not w.isdigit()]
     if not words or BESIDE.intersection(words):
         return False
-    return bool(ASIDE_WORD.fullmatch(words[-1]) or words[-1].rstrip("0123456789") in ASIDE_PART and ASIDE_WORD.fullmatch(words[0]))
+    return bool(word.fullmatch(words[-1]) or words[-1].rstrip("0123456789") in ASIDE_PART and word.fullmatch(words[0]))
 
 
 class Page:
@@ -82,7 +85,7 @@ class Page:
         self._read(html)
 
     def _read(self, html: str) -> None:
-        tags, text, links, at, in_link = self.tag, [], 0, 0, 0
+        tags, text, links, at, in_link, muted = self.tag, [], 0, 0, 0, 0  # muted: open asides within the line
         # Open elements; how many of each tag there are, at all and since the last one in SCOPE.
         stack, every, frames, scopes = [0], Counter(), [Counter()], ["html"]
 
@@ -97,6 +100,8 @@ class Page:
 
         def add(part: str) -> None:
             nonlocal links
+            if muted:
+                return
             part = unescape(part)
             text.append(part)
             if in_link:
@@ -104,8 +109,11 @@ class Page:
 
         def close(tag: str) -> None:
             """Close the nearest open element of this tag, and what is open within it."""
+            nonlocal muted
             while True:
-                t = tags[stack.pop()]
+                k = stack.pop()
+                t = tags[k]
+                muted -= self.aside[k] and t not in BLOCKS
                 every[t] -= 1
                 if t in SCOPE:
                     frames.pop()
@@ -166,11 +174,12 @@ class Page:
                 own = a.get("class", "")
                 names = " ".join(sorted(re.sub(r"\d+", "#", own.lower()).split()))
                 hidden = "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
-                aside = aside or hidden or a.get("role", "").lower() in ASIDE_ROLES or tag in HOLDERS and any(map(is_aside, f"{own} {a.get('id', '')}".split()))
+                aside = aside or hidden or a.get("role", "").lower() in ASIDE_ROLES or any(is_aside(x) if tag in HOLDERS else is_aside(x, LINE_WORD) for x in f"{own} {a.get('id', '')}".split() if tag in HOLDERS or tag in LINE_ASIDE)
             self.step.append(f"{tag}.{names}" if names else tag)
             self.aside.append(aside)
             if not attrs.endswith("/") or tag in BLOCKS:
                 stack.append(k)
+                muted += aside and tag not in BLOCKS
                 every[tag] += 1
                 if tag in SCOPE:
                     frames.append(Counter())

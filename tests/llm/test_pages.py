@@ -151,6 +151,21 @@ def test_hostile_markup_takes_time_in_proportion(markup):
     assert seconds(1 << 20) < 40 * max(seconds(1 << 16), 0.05)  # 16 times the length
 
 
+@pytest.mark.parametrize(
+    "inside, text",
+    [
+        ("<p title=don't>First.</p>", "First."),
+        ("<p title=\"a>b\" x='<p>' y = \"it's\">First <a href=x/>one</a>.</p>", "First one."),
+        ("<p>Text <span hidden>secret</span> <span style='display:none'>x1</span> <span class='ad'>AD</span><label>Name</label><svg><text>v</text></svg> end.</p><button>Buy</button>", "Text end."),
+        ("<p>A <span class='ad-slot'>buy <b>now</b></span>story <ins class=adsbygoogle>x</ins><span class=lead>goes on</span>.</p>", "A story goes on."),
+        ("<p>One <span aria-hidden=true>two</p><p>three.</p>", "One\n\nthree."),
+    ],
+)
+def test_asides_within_a_line_and_odd_attributes(inside, text):
+    page = html_extract.Page(f"<body><article>{inside}<p>Then a second paragraph of the story.</p></article></body>")
+    assert page.main_text(None) == f"{text}\n\nThen a second paragraph of the story."
+
+
 def test_unclosed_tags_keep_their_text():
     assert html_extract.Page("<p>a < b and c <d <p>next").main_text(None) == "a < b and c <d\n\nnext"
     assert html_extract.Page("<table><tr><td><b>1<tr><td>2<dl><dt>t<dd>d<dt>u</dl>").text({0}).split("\n\n") == ["1", "2", "t", "d", "u"]
