@@ -6,6 +6,8 @@ version log, events for probes. Reports are synthesised from conversations, so t
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from terravane import fixed, schemas
 from terravane.functions import lint, text
 from terravane.functions.expr import elapsed_ms, first_error, missing_terms, ordered_distinct, slug, support_band, terms_found
-from terravane.operators import areas, etl, lineage, matching, sinks
+from terravane.operators import areas, etl, lineage, matching, published, sinks
 from terravane.operators.containing import overlapping
 from terravane.operators.keywords import owners_found
 from terravane.streaming import alerts
@@ -629,3 +631,73 @@ def elapsed(spark: SparkSession, d: str) -> DataFrame:
     events = t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     return events.select("user_id", elapsed_ms(before, F.col("ts")).alias("ms")).groupBy("user_id").agg(F.max("ms").alias("longest"))
+
+
+# Reports made of what was said in conversations: letters and stops of each message, under their turn and role.
+_SAID = """said AS (SELECT CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS report_id, turn, coalesce(nullif(role, ''), 'nobody') AS role, trim(regexp_replace(coalesce(text, ''), '[^A-Za-z.]+', ' ', 'g')) AS body FROM conversations)"""
+_LF = "chr(10)"
+
+
+def said(spark: SparkSession, d: str) -> DataFrame:
+    body = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z.]+", " "))
+    return t(spark, d, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("report_id"), "turn", F.coalesce(F.nullif("role", F.lit("")), F.lit("nobody")).alias("role"), body.alias("body"))
+
+
+@query(
+    "q49_said_meta",
+    f"WITH {_SAID} SELECT report_id, 'Reply ' || CAST(turn AS VARCHAR) AS title, coalesce(nullif(trim(left(body, 15)), ''), 'Nowhere') AS location, role AS audience FROM said",
+)
+def said_meta(spark: SparkSession, d: str) -> DataFrame:
+    """Title, place and audience of every message as a report; the last named place counts."""
+    parts = ["# Reply ", F.col("turn"), "\n\nLocation: Nowhere\n- Audience of old\nAUDIENCE: ", F.col("role"), "\n\n", F.col("body"), "\n\n**Location:** ", F.left("body", F.lit(15))]
+    rows = said(spark, d).select("report_id", F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("text"))
+    return text.report_meta(rows, "report_id").select("report_id", "title", "location", "audience")
+
+
+@query(
+    "q50_said_notice",
+    f"""WITH {_SAID} SELECT report_id, {q(fixed.NOTICE)} || {_LF} || {_LF} || trim(CASE turn % 3 WHEN 1 THEN '# Part' || {_LF} || body ELSE body END, ' ' || {_LF}) AS governed FROM said""",
+)
+def said_notice(spark: SparkSession, d: str) -> DataFrame:
+    """The canonical notice in place of altered ones, with a disclaimer or without."""
+    mark, body = F.lit(fixed.NOTICE_MARK), F.col("body")
+    altered = F.concat(mark, F.lit("\n\nOther words: "), F.left("body", F.lit(9)), F.lit(f"\n\n{fixed.DISCLAIMER_MARK} other words.\n\n"), body)
+    cut = F.concat(mark, F.lit(" cut off\n# Part\n"), body)
+    rows = said(spark, d).select("report_id", F.when(F.col("turn") % 3 == 0, altered).when(F.col("turn") % 3 == 1, cut).otherwise(body).alias("text"))
+    return rows.select("report_id", text.governed(text.governed(F.col("text"))).alias("governed"))
+
+
+_RAW = ["Call `plan_complete` function now\n", "body", " checklist_update(a, 1) has been called. Then\n```JSON {\n1}\n```", "\n\n\n\nSee https://x.y/z?a=b end `plan_complete` and Checklist_Complete()", "\n\n"]
+_CLEANED = "(" + " || ".join("left(body, 40)" if p == "body" else f"replace({q(p.replace(chr(10), '~'))}, '~', chr(10))" for p in _RAW) + ")"
+for _pattern, _to in fixed.MODEL_OUTPUT_PATTERNS:
+    _CLEANED = f"regexp_replace({_CLEANED}, {q(_pattern)}, replace({q(_to.replace(chr(10), '~'))}, '~', chr(10)), 'g')"
+
+
+@query("q51_said_cleaned", f"WITH {_SAID} SELECT report_id, trim({_CLEANED}, ' ' || {_LF}) AS cleaned FROM said")
+def said_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Model output without calls, JSON and links: all patterns at once."""
+    raw = F.concat(*(F.left("body", F.lit(40)) if p == "body" else F.lit(p) for p in _RAW))
+    return said(spark, d).select("report_id", text.clean_model_output(raw).alias("cleaned"))
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where is None:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp()
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "q52_published_collections",
+    f"SELECT regexp_replace(r_name, '[^A-Za-z0-9]', '_', 'g') AS folder, c_name AS name, count(*) AS features FROM {UNITS} GROUP BY ALL",
+)
+def published_collections(spark: SparkSession, d: str) -> DataFrame:
+    """Units as FeatureCollections by region, published by the write's commit and read back."""
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.col("c_name").alias("name")).alias("properties")))
+    path = _scratch(spark, "collections")
+    published.write_collections(units(spark, d).select(F.col("r_name").alias("state"), feature.alias("feature")), path, most=1000)
+    read = published.read_collections(spark, path)
+    return read.groupBy("folder", F.get_json_object("feature", "$.properties.name").alias("name")).agg(F.count(F.lit(1)).alias("features"))
