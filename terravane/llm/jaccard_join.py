@@ -11,7 +11,7 @@ and get 0 first, in exchange for large ones that get 2; what is common is counte
 1. Equal sets are one node. Occurrences of segments are counted, and those of common ones listed (2**20 at most).
 2. Hashes are dealt out, packed, in buckets; those of common segments by node, so that they aren't gathered: their groups are
    aggregated and split by Spark. What stays are groups of nodes that share a hash, one of them asking.
-3. A group's centre is its node with the largest groups (the text of which others are copies has all its segments in common).
+3. A group's centre is its node with the most groups (the text of which others are copies has all its segments in common).
    Each node is compared with the centre with which it shares most hashes.
 4. Groups that still hold several components are gone through in tiles, those that mostly belong to one component
    together, so that a node isn't sent once per hash. Pairs across components are told off by bitmaps of their hashes: each bit in which
@@ -46,7 +46,7 @@ PIECE = 1 << 20
 #: Ratio of the largest to the smallest set of a band.
 RATIO = 1.5
 #: Elements from which a segment is large, by the number of segments: few segments need more freedom of choice.
-LARGE = ((24, 3), (64, 6), (1 << 62, 8))
+LARGE = ((24, 3), (64, 7), (1 << 62, 9))
 #: Hashes that a map task counts, or packs, at once.
 HELD = 1 << 20
 #: Times that a hash occurs in HELD ones before it counts as common there, and in all, as a number and as a share of all hashes.
@@ -101,7 +101,7 @@ def distinct(x: np.ndarray) -> np.ndarray:
 
 
 def node_of(s: np.ndarray) -> int:
-    total = (int(mix(s ^ GOLD).sum(dtype=np.uint64)) + len(s) * int(GOLD)) & ((1 << 64) - 1)
+    total = (int(s.sum(dtype=np.uint64)) + len(s) * int(GOLD)) & ((1 << 64) - 1)
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
@@ -130,17 +130,19 @@ def segments(number: int, high: int, percent: int) -> tuple[np.ndarray, np.ndarr
     return first, mix(np.arange(count, dtype=np.uint64) + np.uint64(number << 32) + GOLD), next(x for m, x in LARGE if count <= m)
 
 
-def signatures(s: np.ndarray, high: int, number: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, elements) of each segment in a band, (hash, segment) of each large one with an element left out."""
+def signatures(s: np.ndarray, g: np.ndarray, sums: np.ndarray, high: int, number: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, elements) of each segment in a band, (hash, segment) of each large one with an element left out.
+
+    g and sums: second hashes of the elements s, and their sums up to each.
+    """
     first, salt, large = segments(number, high, percent)
-    start = np.searchsorted(s, first)
-    size = np.diff(start, append=len(s))
-    g = mix(s + GOLD)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(g, dtype=np.uint64)])
-    whole = sums[start + size] - sums[start]
-    of = np.repeat(np.arange(len(first)), size)
-    out = np.flatnonzero(size[of] >= large)
-    return mix(whole ^ salt), size, mix((whole[of[out]] - g[out]) ^ salt[of[out]]), of[out]
+    edge = np.append(np.searchsorted(s, first), len(s))
+    start, size = edge[:-1], edge[1:] - edge[:-1]
+    whole = sums[edge[1:]] - sums[start]
+    big = np.flatnonzero(size >= large)
+    of = np.repeat(big, size[big])
+    out = np.arange(len(of)) - np.repeat(np.cumsum(size[big]) - size[big], size[big]) + start[of]
+    return mix(whole ^ salt), size, mix((whole[of] - g[out]) ^ salt[of]), of
 
 
 def allotted(size: np.ndarray, cost: np.ndarray, need: int, large: int) -> np.ndarray:
@@ -167,8 +169,11 @@ def rows_of(s: np.ndarray, percent: int, common: np.ndarray, times: np.ndarray)
     while bands[-1][2] < size:
         bands.append(band_of(bands[-1][2] + 1))
     keys, asks = [], []
+    g = mix(s + GOLD)
+    sums = np.zeros(len(s) + 1, np.uint64)
+    np.cumsum(g, out=sums[1:])
     for number, _, high in bands:
-        whole, held, less, of = signatures(s, high, number, percent)
+        whole, held, less, of = signatures(s, g, sums, high, number, percent)
         ask, ask_less = np.zeros(len(whole), bool), np.zeros(len(less), bool)
         if (number, high) == (own[0], own[2]) and most_apart(len(s), percent):
             at = np.minimum(np.searchsorted(common, whole), max(0, len(common) - 1))
@@ -391,8 +396,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, pe
 
 def centres(groups: DataFrame) -> DataFrame:
     """a, b: each node b with the centre of its groups with which it shares most hashes."""
-    sizes = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    weight = groups.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("weight"))
+    weight = groups.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
     centre = groups.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("centre"))
     meets = groups.join(centre, "key").filter("node <> centre").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("times"))
     best = meets.groupBy("node").agg(F.max(F.struct("times", "centre"))["centre"].alias("a"))
@@ -439,13 +443,10 @@ def links(docs: DataFrame, own: DataFrame, width: int = 5, percent: int = 80) ->
     nodes = stored(nodes, "nodes")
     groups = stored(shared(docs, own, width, percent), "groups")
     known = cut(verified(cut(centres(groups)), docs, nodes, width, percent))
-    label = components(known)
     for nearest in (True, False):
-        more = cut(verified(cut(across(groups, label, docs, nodes, width, percent, nearest)), docs, nodes, width, percent))
-        if not more.isEmpty():
-            known = known.union(more)
-            label = components(known)
-    return label
+        label = components(known, rounds=2, settle=False)
+        known = known.union(cut(verified(cut(across(groups, label, docs, nodes, width, percent, nearest)), docs, nodes, width, percent)))
+    return components(known)
 
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

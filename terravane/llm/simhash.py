@@ -198,10 +198,11 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return homes.unionByName(visits).groupBy("cell", "block", "copy").applyInPandas(shard, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, settle: bool = True) -> DataFrame:
     """(node, label): the smallest node of each node's component, for the nodes of edges (a, b).
 
-    Minimum labels of neighbours, then pointer jumping; a star or chain halves its depth each round.
+    Minimum labels of neighbours, then pointer jumping; a star or chain halves its depth each round. Without settle
+    it ends after the rounds given: nodes of one label are of one component, which may still have several.
     """
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     label = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
@@ -211,11 +212,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = cut(low)
         jump = low.select(F.col("node").alias("via"), F.col("low").alias("far"))
         new = cut(low.join(jump, F.col("low") == F.col("via"), "left").select("node", "label", F.least("low", F.coalesce("far", "low")).alias("new")))
-        done = new.filter("new <> label").isEmpty()
+        done = settle and new.filter("new <> label").isEmpty()
         label = new.select("node", F.col("new").alias("label"))
         if done:
             return label
-    raise RuntimeError("components did not settle")
+    if settle:
+        raise RuntimeError("components did not settle")
+    return label
 
 
 def classes(docs: DataFrame, radius: int = 2) -> DataFrame:

@@ -80,6 +80,8 @@ def unpack(b: bytes, kind: np.dtype) -> np.ndarray:
 
 def by_bucket(x: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, positions) of all buckets that occur."""
+    if len(bucket) and bucket.min() >= 0 and bucket.max() < 1 << 16:
+        bucket = bucket.astype(np.uint16)  # sorted by radix
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     for part in np.split(order, cuts):
@@ -95,9 +97,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(29))
+    x = x ^ (x >> np.uint64(29))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def slide(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
