@@ -55,6 +55,28 @@ def test_selected_areas(profiles, t):
     assert (got[5].sa2_count, got[5].sa3_names, got[5].area_albers_sqkm, got[5].state_name) == (2, "Cairns - South", 10.12, "Queensland")
 
 
+def test_allocation_names_are_gathered_once(spark, t):
+    """Names come in the order of their first unit, once each, however many mesh blocks an area has."""
+    columns = t["allocation"].columns
+    n = 6000
+    names = lambda k, c: {"state_name_2021": ["Q", "V", None][k % 3], "sa2_name_2021": f"a{k % 40}", "sa3_name_2021": ["", "x", "b", None][k // 7 % 4], "sa4_name_2021": f"s{k % 2}", "gccsa_name_2021": f"g{(k * 7) % 11}", "area_albers_sqkm": "0.5", "seq": n - k}.get(c)
+    kinds = {f.name: f.dataType for f in t["allocation"].schema}
+    rows_ = [tuple(str(v) if (v := names(k, c)) is not None and kinds[c].simpleString() == "string" else v for c in columns) for k in range(n)]
+    table = spark.createDataFrame(rows_, t["allocation"].schema)
+    asked = spark.createDataFrame([(1, ("SA4", "s0", "Q")), (2, ("SA4", "s0", None)), (3, ("SA3", "x", "")), (4, ("SA4", "s9", None))], "request_id long, area_selection struct<level:string,area_name:string,state:string>")
+    out = areas.allocation_summary(asked, table)
+    got = {r.request_id: r for r in out.collect()}
+    plain = lambda keep: [k for k in reversed(range(n)) if keep(k)]
+    first = lambda of, c: ", ".join(dict.fromkeys(x for k in of if (x := names(k, c))))
+    for no, of in ((1, plain(lambda k: k % 2 == 0 and k % 3 == 0)), (2, plain(lambda k: k % 2 == 0)), (3, plain(lambda k: k // 7 % 4 == 1))):
+        r = got[no]
+        assert (r.sa2_count, r.sa3_names, r.sa4_names, r.gccsa_names, r.area_albers_sqkm) == (len(of), first(of, "sa3_name_2021"), first(of, "sa4_name_2021"), first(of, "gccsa_name_2021"), len(of) / 2)
+    assert set(got) == {1, 2, 3} and got[1].state_name == "Q"
+    # Units are summed up before they are multiplied by levels and names.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Generate explode") < plan.rindex("Aggregate [state_name")
+
+
 def test_first_area(spark, t):
     r = spark.createDataFrame([(1, "near cairns"), (2, "wagga"), (3, ""), (4, "central"), (5, "zzz")], "request_id long, location string")
     got = {x.request_id: (x.level, x.area_name, x.state) for x in areas.first_area(r, t["units"]).collect()}
