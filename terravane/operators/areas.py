@@ -57,10 +57,10 @@ def matched_area_profile(units: DataFrame, level: str, area: str, state: str | N
 
 
 def selections(units: DataFrame) -> DataFrame:
-    """Each unit once for every selection that can hold it: level, area_name and state, the state also null for any."""
+    """Each unit once for every selection that can hold it: level, area_name and state, the state also null for any (once, for a unit without state)."""
     levels = F.array(*(F.struct(F.lit(k).alias("level"), F.col(c).alias("area_name")) for k, c in fixed.LEVEL_COLUMNS.items()))
     flat = units.withColumn("x", F.explode(levels)).select("*", "x.*").drop("x").filter("area_name <> ''")
-    return flat.withColumn("state", F.explode(F.array(F.col("state_name"), F.lit(None))))
+    return flat.withColumn("state", F.explode(F.array_distinct(F.array(F.col("state_name"), F.lit(None)))))
 
 
 def selected_profiles(requests: DataFrame, units: DataFrame) -> DataFrame:
