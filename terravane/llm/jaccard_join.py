@@ -14,7 +14,7 @@ and get 0 first, in exchange for large ones that get 2; what is common is counte
 3. A group's centre is its node with the most groups (the text of which others are copies has all its segments in common).
    Each node is compared with the centre with which it shares most hashes.
 4. Groups that still hold several components are gone through in tiles, those that mostly belong to one component
-   together, so that a node isn't sent once per hash. Pairs across components are told off by bitmaps of their hashes: each bit in which
+   together, so that a node isn't sent once per hash, and that component's nodes only to blocks of the others. Pairs across components are told off by bitmaps of their hashes: each bit in which
    they differ is an element in which the sets differ. First each node is compared with its nearest, which joins
    nearly all that belongs together, then what is left is gone through once more, with all pairs that the bitmaps allow. No pair within a
    component needs to be.
@@ -409,7 +409,8 @@ def across(groups: DataFrame, label: DataFrame, docs: DataFrame, nodes: DataFram
     parts = told.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.max("asks").alias("any"))
     live = parts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"), F.max("any").alias("any")).filter("labels > 1 and any")
     mostly = F.when(2 * F.col("top.n") >= F.col("n"), F.xxhash64("top.label", F.lit(1))).otherwise(F.xxhash64("key", F.lit(2)))
-    left = cut(told.join(live.select("key", mostly.alias("unit")), "key").groupBy("unit", "node", "label").agg(F.max("asks").alias("asks")))
+    units = live.select("key", mostly.alias("unit"), F.col("top.label").alias("most"))
+    left = cut(told.join(units, "key").groupBy("unit", "node", "label").agg(F.max("asks").alias("asks"), (F.max("most") == F.col("label")).alias("major")))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -417,9 +418,17 @@ def across(groups: DataFrame, label: DataFrame, docs: DataFrame, nodes: DataFram
 
     there = cut(left.select("node").distinct().join(nodes, "node"))
     held = stored(texts_of(docs, there.select("node", "doc", "tag")).mapInArrow(sketch, "node long, held binary").join(there.select("node", "n"), "node"), "bitmaps")
-    blocks = left.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("blocks"))
-    placed = left.join(blocks, "unit").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = placed.select("node", "label", "asks", "block", F.xxhash64("unit", F.least("block", "other"), F.greatest("block", "other")).alias("tile"))
+    # Nodes of a unit's largest component needn't meet each other: they go to the blocks of the others only.
+    most = lambda fits: F.ceil(F.count_if(fits) / TILE)
+    sizes = left.groupBy("unit").agg(most(~F.col("major")).alias("few"), most(F.col("major")).alias("many"))
+    dealt = left.join(sizes, "unit").withColumn("b", F.pmod(F.xxhash64("node"), F.greatest(F.when(F.col("major"), F.col("many")).otherwise(F.col("few")), F.lit(1))))
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).otherwise(F.array().cast("array<long>"))
+    tile = lambda block, kind, x, y: F.struct(block.cast("long").alias("block"), F.xxhash64("unit", F.lit(kind), x, y).alias("tile"))
+    b = F.col("b")
+    mixed = F.transform(upto("many"), lambda k: tile(b, 1, b, k))
+    own = F.concat(F.transform(upto("few"), lambda k: tile(b, 0, F.least(b, k), F.greatest(b, k))), mixed)
+    placed = dealt.select("node", "label", "asks", F.explode(F.when(F.col("major"), F.transform(upto("few"), lambda k: tile(F.lit(-1), 1, k, b))).otherwise(own)).alias("t"))
+    placed = placed.select("node", "label", "asks", "t.*")
     count = max(LEAST_BUCKETS, placed.count() // TILE)
 
     def pairs(t: pa.Table) -> pa.Table:
