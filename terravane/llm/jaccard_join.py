@@ -12,7 +12,7 @@ and get 0 first, in exchange for large ones that get 2; what is common is counte
 2. Hashes are dealt out, packed, in buckets; those of common segments by node, so that they aren't gathered: their groups are
    aggregated and split by Spark. What stays are groups of nodes that share a hash, one of them asking.
 3. A group's centre is its node with the most groups (the text of which others are copies has all its segments in common).
-   Each node is compared with the centre with which it shares most hashes.
+   Each node is compared with the centre with which it shares most hashes. Similar ones make first components, by centres of centres.
 4. Groups that still hold several components are gone through in tiles, those that mostly belong to one component
    together, so that a node isn't sent once per hash, and that component's nodes only to blocks of the others. Pairs across components are told off by bitmaps of their hashes: each bit in which
    they differ is an element in which the sets differ. First each node is compared with its nearest, which joins
@@ -42,13 +42,13 @@ from .simhash import components
 from .suffix_dedup import by_bucket, mix, pack, powers, unpack
 
 #: Bytes of words that are hashed at once.
-PIECE = 1 << 20
+PIECE = 1 << 16
 #: Ratio of the largest to the smallest set of a band.
 RATIO = 1.5
 #: Elements from which a segment is large, by the number of segments: few segments need more freedom of choice.
 LARGE = ((24, 3), (64, 7), (1 << 62, 9))
-#: Hashes that a map task counts, or packs, at once.
-HELD = 1 << 20
+#: Hashes that a map task counts, or packs, at once; bytes of packed ones that it sends at once.
+HELD, SENT = 1 << 20, 1 << 21
 #: Times that a hash occurs in HELD ones before it counts as common there, and in all, as a number and as a share of all hashes.
 LOCAL, COMMON, SHARE = 6, 1000, 1 << 20
 #: A segment that is shared by more is worth giving a 2 to another one.
@@ -243,6 +243,48 @@ def tile_pairs(label: np.ndarray, asks: np.ndarray, block: np.ndarray, size: np.
     return found | {(k, int(whom[k])) for k in np.flatnonzero(whom >= 0).tolist()}
 
 
+def joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts as one array; the list is emptied, so that they aren't held beside it."""
+    whole = np.concatenate(parts)
+    parts.clear()
+    return whole
+
+
+def counted(held: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, times) of those that occur so often; held is emptied."""
+    x = joined(held)
+    x.sort()
+    last = x[least - 1 :]
+    u = np.unique(last[last == x[: len(last)]])
+    return u, np.searchsorted(x, u, "right") - np.searchsorted(x, u)
+
+
+def packed(rare: list[np.ndarray], places: list[np.ndarray], often: list[np.ndarray], count: int) -> Iterator[pa.RecordBatch]:
+    """bucket, rare, often: rows by their buckets (places; count of them), SENT bytes or little more at once; the lists are emptied."""
+
+    def cells() -> Iterator[tuple[int, bytes | None, bytes | None]]:
+        row = joined(rare)
+        for k, part in by_bucket(row, joined(places)):
+            yield k, pack(row[part]), None
+        row = joined(often)
+        for k, part in by_bucket(row, np.mod(row["node"], count)):
+            yield k, None, pack(row[part])
+
+    held, size = [], 0
+    for cell in cells():
+        held.append(cell)
+        size += len(cell[1] or cell[2])
+        if size > SENT:
+            yield cells_of(held)
+            held, size = [], 0
+    if held:
+        yield cells_of(held)
+
+
+def cells_of(held: list[tuple[int, bytes | None, bytes | None]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in held], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["bucket", "rare", "often"])
+
+
 def sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc, tag, n, node and rows (its hashes) of every document, and key, times of what tasks find common, in rows of their own."""
 
@@ -255,10 +297,9 @@ def sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
         size = 0
 
         def common() -> pa.RecordBatch:
-            u, n = np.unique(np.concatenate(held or [none]), return_counts=True)
-            u, n = u[n >= local].view(np.int64), n[n >= local].astype(np.int64)
+            u, n = counted(held or [none], local)
             gone = pa.nulls(len(u), pa.int64())
-            return pa.RecordBatch.from_arrays([gone] * 5 + [pa.array(u), pa.array(n)], names)
+            return pa.RecordBatch.from_arrays([gone] * 5 + [pa.array(u.view(np.int64)), pa.array(n)], names)
 
         names = ["doc", "tag", "n", "node", "rows", "key", "times"]
         for b in batches:
@@ -276,7 +317,7 @@ def sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 size += len(keys)
                 if size > most:
                     yield common()
-                    held, size = [], 0
+                    size = 0
             gone = pa.nulls(b.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([x[i] for x in found], pa.int64()) for i in range(3)), gone, gone], names)
         yield common()
@@ -310,17 +351,10 @@ def shared(docs: DataFrame, own: DataFrame, width: int, percent: int) -> DataFra
                     yield node, keys, asks, listed
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare: list[tuple[np.ndarray, np.ndarray]] = []
+        rare: list[np.ndarray] = []
+        places: list[np.ndarray] = []
         often: list[np.ndarray] = []
         size = 0
-
-        def out() -> pa.RecordBatch:
-            key, row = (np.concatenate(x) for x in zip(*rare))
-            cells = [(k, pack(row[part]), None) for k, part in by_bucket(row, (key >> np.uint64(40)).astype(np.int64) % count)]
-            r = np.concatenate(often)
-            cells += [(k, None, pack(r[part])) for k, part in by_bucket(r, np.mod(r["node"], count))]
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in cells], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["bucket", "rare", "often"])
-
         for node, keys, asks, listed in each(batches):
             key = keys[~listed]
             row = np.zeros(len(key), ROW)
@@ -328,14 +362,15 @@ def shared(docs: DataFrame, own: DataFrame, width: int, percent: int) -> DataFra
             row["f"] = ((key >> np.uint64(32)) & np.uint64(0x7F)) * np.uint64(2) + asks[~listed]
             more = np.zeros(len(keys) - len(key), OFTEN)
             more["key"], more["node"], more["asks"] = (keys[listed] | np.uint64(1 << 63)).view(np.int64), node, asks[listed]
-            rare.append((key, row))
+            rare.append(row)
+            places.append(((key >> np.uint64(40)).astype(np.int64) % count).astype(np.int32))
             often.append(more)
             size += len(keys)
             if size > pieces:
-                yield out()
-                rare, often, size = [], [], 0
+                yield from packed(rare, places, often, count)
+                size = 0
         if rare:
-            yield out()
+            yield from packed(rare, places, often, count)
 
     def group(t: pa.Table) -> pa.Table:
         bucket = t.column("bucket")[0].as_py()
@@ -403,6 +438,15 @@ def centres(groups: DataFrame) -> DataFrame:
     return best.select("a", F.col("node").alias("b"))
 
 
+def roots(known: DataFrame, rounds: int = 2) -> DataFrame:
+    """node, label of links (a, b) of which each b has one a, its centre: a centre's centre, and so on; a round doubles the steps."""
+    label = known.select(F.col("b").alias("node"), F.col("a").alias("label"))
+    for _ in range(rounds):
+        up = label.select(F.col("node").alias("via"), F.col("label").alias("far"))
+        label = cut(label.join(up, F.col("label") == F.col("via"), "left").select("node", F.coalesce("far", "label").alias("label")))
+    return label
+
+
 def across(groups: DataFrame, label: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int, nearest: bool) -> DataFrame:
     """a, b: pairs of a group across components that may be similar; nearest: for each node only the closest one."""
     told = groups.join(label, "node", "left").select("key", "node", "asks", F.coalesce("label", "node").alias("label"))
@@ -453,7 +497,7 @@ def links(docs: DataFrame, own: DataFrame, width: int = 5, percent: int = 80) ->
     groups = stored(shared(docs, own, width, percent), "groups")
     known = cut(verified(cut(centres(groups)), docs, nodes, width, percent))
     for nearest in (True, False):
-        label = components(known, rounds=2, settle=False)
+        label = roots(known) if nearest else components(known, rounds=2, settle=False)
         known = known.union(cut(verified(cut(across(groups, label, docs, nodes, width, percent, nearest)), docs, nodes, width, percent)))
     return components(known)
 

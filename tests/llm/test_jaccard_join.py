@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -122,6 +123,56 @@ def test_bitmaps_never_tell_off_a_similar_pair():
     assert not jj.tile_pairs(every(1), every(True), every(0), size, held, 80, False) and not jj.tile_pairs(np.arange(40), every(False), every(0), size, held, 80, False)
 
 
+def peak(run):
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("least", [1, 2, 6])
+def test_counting_holds_little_beside_the_hashes(least):
+    r = np.random.default_rng(least)
+    for n in (0, 1, 3, 1 << 20):
+        held = [r.integers(0, max(1, n // 3), n - n // 2, np.uint64), r.integers(0, max(1, n // 3), n // 2, np.uint64)]
+        u, times = np.unique(np.concatenate(held), return_counts=True)
+        want = u[times >= least].tolist(), times[times >= least].tolist()
+        (found, often), most = peak(lambda held=held: jj.counted(held, least))
+        assert (found.tolist(), often.tolist()) == want and not held
+        assert least < 6 or most < 100_000 + 2 * 8 * n  # np.unique with counts took three times the hashes
+
+
+def test_hashes_travel_in_small_batches():
+    r, n, count = np.random.default_rng(1), 1 << 20, 600
+    row, more = np.zeros(n, jj.ROW), np.zeros(n // 8, jj.OFTEN)
+    row["k"], row["node"], more["node"] = r.integers(0, 1 << 32, n), r.integers(-9, 9, n), r.integers(-(1 << 40), 1 << 40, len(more))
+    place = r.integers(0, count, n).astype(np.int32)
+    lists = [row[: n // 2], row[n // 2 :]], [place], [more]
+    got = {False: {}, True: {}}
+
+    def run():
+        for b in jj.packed(*lists, count):
+            assert b.nbytes < jj.SENT + 100_000 and not lists[0]
+            for k, rare, often in zip(*b.to_pydict().values()):
+                assert (rare is None) != (often is None) and k not in got[rare is None]
+                got[rare is None][k] = (jj.unpack(often, jj.OFTEN) if rare is None else jj.unpack(rare, jj.ROW)) if k < 20 else None
+
+    _, most = peak(run)
+    assert most < 36_000_000  # one batch of all took 46 MB
+    assert len(got[False]) == len(got[True]) == count
+    for k in range(20):
+        assert (got[False][k] == row[place == k]).all() and (got[True][k] == more[np.mod(more["node"], count) == k]).all()
+
+
+def test_roots_follow_centres_of_centres(spark):
+    star = [(1, k) for k in range(10, 40)]
+    chain = [(100, 101), (101, 102), (102, 103), (103, 104), (104, 105)]
+    found = {r.node: r.label for r in jj.roots(spark.createDataFrame(star + chain, "a long, b long")).collect()}
+    assert found == {k: 1 for k in range(10, 40)} | {101: 100, 102: 100, 103: 100, 104: 100, 105: 101}
+    assert jj.roots(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 def test_odd_rows_and_small_limits(spark, monkeypatch):
     r = random.Random(3)
     rows = list(ODD)
